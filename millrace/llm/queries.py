@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _scratch as sc
-from millrace.llm import chunked, counts, packing, sstable
+from millrace.llm import chunked, counts, packing, quality, sstable, substrings, topk, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,10 +34,38 @@ def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked.encode_digests(_docs(spark, sf_dir), TOKENIZER)
 
 
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sc.new_dir(spark, "warc")
+    pages = sc.columns(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+    read = warc.read_archives(warc.write_archives(pages, path, min_bytes=0), payloads=False)
+    return read.where("record_type IN ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_docs(spark, sf_dir), width=13)
+
+
+def op9_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = sc.columns(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return topk.search(vectors, k=20, every=20, scale=64.0)
+
+
+def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_docs(spark, sf_dir)).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 QUERIES = {
     "op1_token_sstable": op1_token_sstable,
     "op2_config_lp_packing": op2_config_lp_packing,
     "op3_token_counts": op3_token_counts,
     "op4_chunked_bpe": op4_chunked_bpe,
+    "op7_warc_salvage": op7_warc_salvage,
+    "op8_difference_cover": op8_difference_cover,
+    "op9_maxscore_topk": op9_maxscore_topk,
+    "op10_quality_cascade": op10_quality_cascade,
+}
+ORACLES: dict[str, str] = {
+    "op8_difference_cover": substrings.oracle(13),
+    "op9_maxscore_topk": topk.oracle(20, 20, 64),
+    "op10_quality_cascade": quality.oracle(),
 }
-ORACLES: dict[str, str] = {}
