@@ -168,8 +168,8 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
     return gone.groupBy("doc_id", "th").agg(F.collect_set("n").alias("gone"))
 
 
-def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """The same rows and columns without the removed lines, plus `_n_lines` and `_n_removed`."""
+def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT, counts: bool = True) -> DataFrame:
+    """The same rows and columns without the removed lines, with ``counts`` also `_n_lines` and `_n_removed`."""
     gone = removed_places(docs, tau, min_chars, hot).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "gone")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"), F.split(F.col("text").cast("string"), "\n").alias("_lines"))
@@ -179,6 +179,8 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int
     kept = F.expr("filter(_lines, (x, i) -> NOT array_contains(gone, i))")
     text = F.when(F.col("gone").isNull(), F.col("_row.text").cast("string")).otherwise(F.array_join(kept, "\n"))
     cols = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    if not counts:
+        return both.select(*cols)
     return both.select(*cols, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("_n_removed"))
 
 

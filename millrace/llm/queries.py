@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _scratch as sc
-from millrace.llm import chunked, counts, lines, packing, quality, sstable, substrings, topk, warc
+from millrace.llm import chunked, counts, lines, neardup, packing, quality, sstable, substrings, topk, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -39,6 +39,10 @@ def op5_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digests(_docs(spark, sf_dir), width=3, percent=85)
+
+
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sc.new_dir(spark, "warc")
     pages = sc.columns(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chunked_bpe": op4_chunked_bpe,
     "op5_line_edit_join": op5_line_edit_join,
+    "op6_hyperminhash": op6_hyperminhash,
     "op7_warc_salvage": op7_warc_salvage,
     "op8_difference_cover": op8_difference_cover,
     "op9_maxscore_topk": op9_maxscore_topk,
@@ -72,6 +77,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op5_line_edit_join": lines.oracle(),
+    "op6_hyperminhash": neardup.oracle(3, 85),
     "op8_difference_cover": substrings.oracle(13),
     "op9_maxscore_topk": topk.oracle(20, 20, 64),
     "op10_quality_cascade": quality.oracle(),
