@@ -17,10 +17,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-# The byte-level pre-token pattern, written for Python's engine; \d may stand for \p{N} and [^\W\d_] for \p{L} only inside SAFE.
-PATTERN = re.compile(r"'(?:[sdmt]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-# Characters whose classes both engines agree on (ASCII, Latin, Greek, Cyrillic, kana, Han, Hangul, common punctuation).
-SAFE = re.compile(r"[\t\n\r -~¡-©«-®°±´-¸»¿À-ʯΑ-Ρα-ωА-яぁ-ゖァ-ヺ一-鿋가-힣‐-‧‰-⁞€]*")
+# Letters (Latin, Greek, Cyrillic, kana, Han, Hangul) and other characters whose classes all engines agree on.
+LETTERS = "A-Za-zµÀ-ÖØ-öø-ʯΑ-Ρα-ωА-яぁ-ゖァ-ヺ一-鿋가-힣"
+SAFE = re.compile(rf"[\t\n\r -~¡-©«-®°±´-¸»¿×÷‐-‧‰-⁞€{LETTERS}]*")
+# The byte-level pre-token pattern for texts inside SAFE, where LETTERS is \p{L} and \d is \p{N}. Words stand first,
+# being commonest; no other branch can match where they do.
+PATTERN = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 #: A match may change by what follows it only if it is one of the last three of its text ("'" + "l" + "l").
 UNSURE = 3
@@ -32,6 +34,8 @@ class PretokenCache(dict):
     def __init__(self, model, limit: int):
         super().__init__()
         self.model, self.limit, self.old = model, limit, {}
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # the library's own cache would hold the same pieces again
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printable)]
         self.table = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(hidden)}
@@ -39,7 +43,8 @@ class PretokenCache(dict):
     def __missing__(self, piece: str) -> bytes:
         v = self.old.get(piece)
         if v is None:
-            v = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]).tobytes()
+            mapped = "Ġ" + piece[1:] if piece[0] == " " and piece[1:].isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+            v = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -50,7 +55,7 @@ class PretokenCache(dict):
 class BpeCoder:
     """Encodes whole texts to packed ids exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 700_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -96,7 +101,7 @@ class BpeCoder:
 _coders: dict[tuple, BpeCoder] = {}
 
 
-def coder(path: str, cache: int = 300_000) -> BpeCoder:
+def coder(path: str, cache: int = 700_000) -> BpeCoder:
     """One coder a worker process."""
     if (key := (path, cache)) not in _coders:
         _coders.clear()
