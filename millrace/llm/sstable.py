@@ -4,7 +4,7 @@
 documents stand in ascending identifier order; ``read_shards`` streams them back, ``Reader.get`` finds one document.
 
 File: blocks, Bloom filter, block index, footer. A block holds entries (shared key bytes, other key bytes, value
-bytes: three varints, then the key's rest and the value); every RESTART-th key is whole. It is deflated and followed
+bytes: three varints, then the key's rest and the value); every RESTART-th key is whole. It is compressed (zstd) and followed
 by its CRC-32. The index has each block's first key, offset and length; the footer has the places of both, counts and
 a CRC. A key is a null flag, the identifier as an order-preserving big-endian integer, and a running number among
 equal identifiers. A value is the document's ids as little-endian uint32.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ class Writer:
 
     def flush(self) -> None:
         if self.block_n:
-            body = zlib.compress(bytes(self.block), 1)
+            body = zstandard.ZstdCompressor(level=1).compress(bytes(self.block))
             self.index.append((self.block_first, self.at, len(body)))
             self.put(body + struct.pack("<I", zlib.crc32(body)))
             self.block, self.block_n = bytearray(), 0
@@ -151,7 +152,7 @@ class Reader:
         raw = self.f.read(length + 4)
         if zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
             raise ValueError(f"block {k} is damaged")
-        buf, at, key = zlib.decompress(raw[:-4]), 0, b""
+        buf, at, key = zstandard.ZstdDecompressor().decompress(raw[:-4]), 0, b""
         while at < len(buf):
             shared, at = read_varint(buf, at)
             rest, at = read_varint(buf, at)
