@@ -56,10 +56,10 @@ def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(h[a : b - width + 1]))
         elif b > a:  # the whole sequence: a hash that also knows its length
-            x = np.uint64(b - a)
-            for v in w.hash[a:b]:
-                x = mix(np.array([x * np.uint64(0x9E3779B97F4A7C15) + v]))[0]
-            out.append(np.array([x], np.uint64))
+            x = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                x = mix(x * np.uint64(0x9E3779B97F4A7C15) + w.hash[k : k + 1])
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
