@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("transforms", "aggregates", "windowed", "joined")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
