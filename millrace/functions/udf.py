@@ -34,6 +34,8 @@ class FunctionRegistry:
         if not callable(fn):
             raise TypeError("a function is needed")
         self._add(name, "scalar", returns, fn)
+        if vectorized:
+            fn.__annotations__ = {**dict.fromkeys(inspect.signature(fn).parameters, pd.Series), "return": pd.Series}
         self.spark.udf.register(name, F.pandas_udf(fn, returns) if vectorized else F.udf(fn, returns, useArrow=True))
 
     def aggregate(self, name: str, fn, returns: str) -> None:
