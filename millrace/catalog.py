@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("transforms", "aggregates", "windowed", "joined", "dialect", "cep")
+MODULES: tuple[str, ...] = ("transforms", "aggregates", "windowed", "joined", "dialect", "cep", "apps")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -118,7 +118,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     a = side.select(F.col("rid").alias("c"), F.col("n").alias("nc"), F.col("regs").alias("rc"))
     b = side.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("regs").alias("rx"))
     both = pairs.join(b, "x").join(a, "c").where(f"100 * least(nc, nx) >= {percent} * greatest(nc, nx)").select("c", "x", "nc", "nx", "rc", "rx")
-    schema = pa.schema([("c", pa.int64()), ("x", pa.int64())])
+    schema = pa.schema([("c", pa.int64()), ("x", pa.int64()), ("j", pa.float64())])
 
     def run(batches):
         for t in batches:
@@ -128,9 +128,9 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             j, used = estimate(*regs, *(t.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)))
             p = percent / 100
             keep = j + SIGMAS * np.sqrt(p * (1 - p) / np.maximum(used, 1)) >= p
-            yield pa.RecordBatch.from_arrays([t.column(k).filter(pa.array(keep)) for k in (0, 1)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(t.column(k).filter(pa.array(keep)) for k in (0, 1)), pa.array(j[keep])], schema=schema)
 
-    return both.mapInArrow(run, "c long, x long")
+    return both.mapInArrow(run, "c long, x long, j double")
 
 
 def send_sets(wanted: DataFrame, manifest: DataFrame, width: int, text: str) -> DataFrame:
@@ -164,6 +164,28 @@ def send_sets(wanted: DataFrame, manifest: DataFrame, width: int, text: str) ->
     return spread.mapInArrow(run, "g1 long, g2 long, role int, rid long, shingles binary")
 
 
+class Postings:
+    """An inverted index of some sets: exact overlaps of another set with all of them, in memory linear in their sizes."""
+
+    def __init__(self, heads: list[tuple[int, np.ndarray]]):
+        self.sizes = np.array([len(u) for _, u in heads])
+        words = np.concatenate([u for _, u in heads])
+        order = np.argsort(words, kind="stable")
+        self.owner = np.repeat(np.arange(len(heads)), self.sizes)[order]
+        self.words, first = np.unique(words[order], return_index=True)
+        self.first = np.append(first, len(words))
+
+    def overlaps(self, u: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.words, u)
+        at[at == len(self.words)] = 0
+        at = at[self.words[at] == u]
+        lo, n = self.first[at], self.first[at + 1] - self.first[at]
+        if len(self.sizes) == 1:
+            return np.array([len(at)])
+        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else at
+        return np.bincount(self.owner[where], minlength=len(self.sizes))
+
+
 def checked_groups(sent: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) within each group: every role-0 set (at most PORTION, they come first) against every role-1 set."""
     parts = sc.parts(sent.sparkSession)
@@ -185,23 +207,31 @@ def checked_groups(sent: DataFrame, percent: int) -> DataFrame:
                 if not heads:
                     continue
                 if table is None:
-                    ids = np.array([h[0] for h in heads])
-                    sizes = np.array([len(h[1]) for h in heads])
-                    words = np.unique(np.concatenate([h[1] for h in heads]))
-                    table = np.zeros((len(words), len(heads)), np.int32 if len(heads) > 1 else np.int64)
-                    for k, h in enumerate(heads):
-                        table[np.searchsorted(words, h[1]), k] = 1
-                at = np.searchsorted(words, u)
-                at[at == len(words)] = 0
-                at = at[words[at] == u] if len(words) else at[:0]
-                inter = table[at].sum(axis=0)
-                hit = np.flatnonzero(100 * inter >= percent * (sizes + len(u) - inter))
-                out += [(int(ids[k]), rid) for k in hit if ids[k] != rid]
+                    table = Postings(heads)
+                inter = table.overlaps(u)
+                hit = np.flatnonzero(100 * inter >= percent * (table.sizes + len(u) - inter))
+                out += [(heads[k][0], rid) for k in hit.tolist() if heads[k][0] != rid]
             yield sc.batch(schema, out)
 
     return ordered.mapInArrow(run, "u long, v long")
 
 
+def verified(pairs: DataFrame, manifest: DataFrame, width: int, text: str, percent: int) -> DataFrame:
+    """The pairs (c, x) that are linked. A group (centre, portion) has the centre's set once, then its members'."""
+    counts = pairs.groupBy("c").count().withColumn("portions", F.ceil(F.col("count") / PORTION))
+    dealt = pairs.join(counts, "c").select(F.col("x").alias("rid"), F.col("c").alias("g1"), F.expr("pmod(xxhash64(x), portions)").alias("g2"), F.lit(1).alias("role"))
+    centres = dealt.select(F.col("g1").alias("rid"), "g1", "g2", F.lit(0).alias("role")).distinct()
+    return checked_groups(send_sets(dealt.union(centres), manifest, width, text), percent)
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those pairs (c, x) whose ends are in different components so far."""
+    a = labels.select(F.col("v").alias("c"), F.col("label").alias("lc"))
+    b = labels.select(F.col("v").alias("x"), F.col("label").alias("lx"))
+    both = pairs.join(a, "c", "left").join(b, "x", "left")
+    return both.where("coalesce(lc, c) <> coalesce(lx, x)").select("c", "x")
+
+
 def near_duplicates(docs: DataFrame, width: int, percent: int, text: str = "text", key: str = "doc_id", path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, manifest); rows: (rid, doc_id, n_shingles, component_id, leader), leader the rid of the row that stays."""
     spark = docs.sparkSession
@@ -228,16 +258,16 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, text: str = "text
     pairs = pairs.groupBy(F.least("c", "x").alias("lo"), F.greatest("c", "x").alias("hi")).agg(F.min("c").alias("c")).select("c", F.expr("if(c = lo, hi, lo)").alias("x"))
     kept = sc.save(likely(pairs, reps, percent), f"{path}/likely")
 
-    # Centre groups in portions: (centre, portion) has the centre's set once, then the members'.
-    counts = kept.groupBy("c").count().withColumn("portions", F.ceil(F.col("count") / PORTION))
-    dealt = kept.join(counts, "c").select(F.col("x").alias("rid"), F.col("c").alias("g1"), F.expr("pmod(xxhash64(x), portions)").alias("g2"), F.lit(1).alias("role"))
-    centres = dealt.select(F.col("g1").alias("rid"), "g1", "g2", F.lit(0).alias("role")).distinct()
-    links = sc.save(checked_groups(send_sets(dealt.union(centres), manifest, width, text), percent), f"{path}/links")
+    # First each member against the likeliest of its centres only; then those pairs that still join two components.
+    best = kept.groupBy("x").agg(F.max_by("c", F.struct("j", "c")).alias("c")).select("c", "x")
+    links = sc.save(verified(best, manifest, width, text, percent), f"{path}/links")
     labels = connected_components(links, f"{path}/cc")
-
+    apart = across(kept.select("c", "x").join(best, ["c", "x"], "left_anti"), labels)
+    links = links.union(sc.save(verified(apart, manifest, width, text, percent), f"{path}/links-2"))
+    labels = connected_components(links, f"{path}/cc2")
     more = residual_links(met, labels, manifest, width, percent, text, path)
     if more is not None:
-        labels = connected_components(links.union(more), f"{path}/cc2")
+        labels = connected_components(links.union(more), f"{path}/cc3")
 
     named = classes.select("n", "s1", "s2", "rid", "least").join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     leader = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.coalesce("least", F.lit((1 << 63) - 1)), "rid")).alias("o")).select("label", "component_id", F.col("o.rid").alias("leader"))
