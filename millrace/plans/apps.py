@@ -168,11 +168,11 @@ def high_risk(spark, d):
     return _scored(spark, d).where(F.col("level").isin("high", "critical")).select("event_id", "level")
 
 
-@query(f"""SELECT event_id, user_id, amount, CAST(hour(ts) AS INTEGER) AS hour, CAST(dayofweek(ts) AS INTEGER) AS weekday, date_sub('second', min(ts) OVER u, ts) AS account_age_s, round(avg(amount) OVER u, 6) AS mean_amount,
+@query(f"""SELECT event_id, user_id, amount, CAST(hour(ts) AS INTEGER) AS hour, CAST(dayofweek(ts) AS INTEGER) AS weekday, date_sub('second', min(ts) OVER u, ts) AS account_age_s, round(avg(amount) OVER u + 1e-7, 3) AS mean_amount,
     count(*) OVER u AS n_events, coalesce(date_sub('second', lag(ts) OVER w, ts), 0) AS since_last_s FROM {TX}
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def fraud_features(spark, d):
-    return X.features(transactions(events(spark, d))).withColumn("mean_amount", F.round("mean_amount", 6))
+    return X.features(transactions(events(spark, d))).withColumn("mean_amount", F.round(F.col("mean_amount") + 1e-7, 3))
 
 
 @query(f"SELECT event_id, CASE WHEN location IN ('loc3', 'loc7') THEN 50.0 ELSE 0.0 END AS risk_score, CASE WHEN location IN ('loc3', 'loc7') THEN 'review' ELSE 'allow' END AS action FROM {TX}")
@@ -252,10 +252,10 @@ MAINT = f"""(SELECT *, CASE WHEN f = 0 THEN 0 ELSE (value - f) / f END AS degrad
     WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, event_id ROWS 14 PRECEDING)) WHERE n >= 10)"""
 
 
-@query(f"""SELECT event_id, sensor_id, round(degradation, 4) AS degradation, CASE WHEN abs(degradation) > 0.5 THEN 'high' WHEN abs(slope) > 0.5 THEN 'medium' ELSE 'low' END AS priority,
+@query(f"""SELECT event_id, sensor_id, round(degradation, 3) AS degradation, CASE WHEN abs(degradation) > 0.5 THEN 'high' WHEN abs(slope) > 0.5 THEN 'medium' ELSE 'low' END AS priority,
     CASE WHEN slope = 0 THEN 365 ELSE CAST(trunc(greatest(0, least(365, (CASE sensor_type WHEN 'temperature' THEN 100 WHEN 'pressure' THEN 150 WHEN 'vibration' THEN 50 WHEN 'humidity' THEN 95 ELSE 100 END - value) / slope))) AS INTEGER) END AS days_to_failure FROM {MAINT}""")
 def maintenance(spark, d):
-    return I.maintenance(_r(spark, d)).select("event_id", "sensor_id", F.round("degradation", 4).alias("degradation"), "priority", "days_to_failure")
+    return I.maintenance(_r(spark, d)).select("event_id", "sensor_id", F.round("degradation", 3).alias("degradation"), "priority", "days_to_failure")
 
 
 @query(f"SELECT event_id, round(greatest(0, 100 - 100 * abs(degradation) - 5 * CASE WHEN mean = 0 THEN 0 ELSE sd / mean END - 20 * poor), 4) AS health FROM {MAINT}")
@@ -269,14 +269,14 @@ def maintenance_plan(spark, d):
     return I.plan(I.maintenance(_r(spark, d))).select("event_id", "cost", F.array_join("actions", ",").alias("actions"))
 
 
-@query(f"SELECT event_id, round(greatest(0, 100 - 10 * abs(slope) - 2 * sd - 30 * poor - 0.05 * n), 4) AS health FROM {MAINT}")
+@query(f"SELECT event_id, round(greatest(0, 100 - 10 * abs(slope) - 2 * sd - 30 * poor - 0.05 * n), 3) AS health FROM {MAINT}")
 def custom_health(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("sensor_id").orderBy(*I.ORDER).rowsBetween(-14, 0)
-    r = _r(spark, d).withColumns({"_sd": F.stddev_pop("value").over(w), "_poor": F.avg((F.col("quality") == "poor").cast("double")).over(w)})
+    r = _r(spark, d).withColumns({"spread": F.stddev_pop("value").over(w), "poor_share": F.avg((F.col("quality") == "poor").cast("double")).over(w)})
     m = I.maintenance(r)
-    return m.select("event_id", F.round(I.custom_health(F.col("slope"), F.col("_sd"), F.col("_poor"), F.col("n")), 4).alias("health"))
+    return m.select("event_id", F.round(I.custom_health(F.col("slope"), F.col("spread"), F.col("poor_share"), F.col("n")), 3).alias("health"))
 
 
 # ---- pricing
