@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _scratch as sc
 
+#: Pieces of a line that must nearly all be intact before its distance is computed.
+FINE = 24
 TAU, MIN_CHARS, HOT = 2, 20, 64
 BITMAP_BUCKETS = 512  # of 32,768 bits: 2 MB
 
@@ -81,13 +83,14 @@ def second_keys(tau: int, probe: bool) -> Column:
 
 
 def edit_distance(a: str, b: str, tau: int) -> Column:
-    """Banded bit-parallel edit distance of two arrays of characters, len(a) <= len(b) <= len(a) + tau; exact up to tau.
+    """Banded bit-parallel edit distance of two strings, len(a) <= len(b) <= len(a) + tau; exact up to tau.
 
     Bit k of the vectors stands for row j - tau + k of column j. Vertical differences start as +1 below row 0 and -1
     above it; a diagonal's value grows by one where its zero-difference bit is clear, so only the diagonal that ends in
     the last cell is summed.
     """
-    width = 2 * tau + 1
+    columns = f"struct(split({a}, '') AS a, split({b}, '') AS b)"
+    a, b, width = "(p.a)", "(p.b)", 2 * tau + 1
     full = (1 << width) - 1
     up = (1 << tau) - 1
     eq = " | ".join(f"if(get({a}, j - 1 - {tau} + {k}) <=> {b}[j - 1], {1 << k}, 0)" for k in range(width))
@@ -98,9 +101,9 @@ def edit_distance(a: str, b: str, tau: int) -> Column:
     end = f"named_struct('vp', (z.hn | ~(shiftright(z.d, 1) | z.hp)) & {full}, 'vn', shiftright(z.d, 1) & z.hp, 'n', z.n + if(j > {gap}, 1 - (shiftright(z.d, {tau} - {gap}) & 1), 0))"
     # Each inner transform over a one-element array names a step's result, so nothing is evaluated twice.
     inner = f"transform(transform(transform(array({step}), x -> {d0}), y -> {hs}), z -> {end})[0]"
-    return F.expr(
-        f"if(size({b}) = 0, 0, aggregate(sequence(1, size({b})), named_struct('vp', {full - up}, 'vn', {up}, 'n', {gap}), (s, j) -> if(s.n > {tau}, s, {inner}), s -> s.n))"
-    )
+    walk = f"aggregate(sequence(1, size({b})), named_struct('vp', {full - up}, 'vn', {up}, 'n', {gap}), (s, j) -> if(s.n > {tau}, s, {inner}), s -> s.n)"
+    # The strings are split once, outside the walk: as a lambda's argument they can't be copied into its steps.
+    return F.expr(f"transform(array({columns}), p -> if(size({b}) = 0, 0, {walk}))[0]")
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -109,48 +112,61 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.withColumn("_len", F.length("_line")).where(F.col("_len") >= min_chars).withColumn("h", F.xxhash64("_line", F.lit(1)))
 
 
+def bitmap(hashes: DataFrame, path: str) -> DataFrame:
+    """A written set of the hashes ``h`` modulo a fixed number of bits: (_bucket, _bits), 2 MB however many there are.
+
+    ``marked`` may therefore name lines that weren't meant, never miss one.
+    """
+    slots = hashes.select(F.pmod(F.col("h"), F.lit(BITMAP_BUCKETS * 32768)).alias("_slot"))
+    bits = slots.groupBy(F.expr("cast(_slot div 32768 as int)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_slot % 32768 + 1))").alias("_bits"))
+    return sc.save(bits, path)
+
+
+def marked(df: DataFrame, bits: DataFrame, name: str) -> DataFrame:
+    """Adds a boolean: whether the row's ``h`` may be in the bitmap."""
+    slot = F.pmod(F.col("h"), F.lit(BITMAP_BUCKETS * 32768))
+    out = df.withColumn("_slot", slot).withColumn("_bucket", F.expr("cast(_slot div 32768 as int)")).join(F.broadcast(bits), "_bucket", "left")
+    byte = "conv(hex(substring(_bits, cast((_slot % 32768) div 8 as int) + 1, 1)), 16, 10)"
+    return out.withColumn(name, F.expr(f"coalesce(({byte} & shiftleft(1, cast(_slot % 8 as int))) <> 0, false)")).drop("_slot", "_bucket", "_bits")
+
+
+def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("_line")).withColumn("_len", F.length("_line"))
+    return lines.where(F.col("_len") >= min_chars).withColumn("h", F.xxhash64("_line", F.lit(1)))
+
+
 def near_pairs(docs: DataFrame, firsts: DataFrame, path: str, tau: int, min_chars: int, hot: int) -> DataFrame:
     """Verified pairs (a, b) of hashes of different lines within tau edits, len(a) <= len(b)."""
-    spark = docs.sparkSession
-    # One text for each distinct line: its first place says which occurrence gives keys, so no text is shuffled.
-    lines = docs.select(F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "_line"))
-    lines = lines.select("_line").withColumn("_len", F.length("_line")).where(F.col("_len") >= min_chars).withColumn("h", F.xxhash64("_line", F.lit(1)))
+    # Lines that occur once need no merging; only the texts of repeated ones are shuffled to get one of each.
+    seen = marked(line_texts(docs, min_chars), bitmap(firsts.where("times > 1").select("h"), f"{path}/repeated"), "_often")
+    often = seen.where("_often").groupBy("h").agg(F.first("_line").alias("_line")).withColumn("_len", F.length("_line"))
+    lines = seen.where("NOT _often").select("h", "_line", "_len").union(often.select("h", "_line", "_len"))
 
     def keyed(keys: Column) -> DataFrame:
-        return lines.select("h", F.explode(keys).alias("k")).select("h", F.col("k.key").alias("key"))
+        return lines.select("h", F.explode(F.transform(keys, lambda k: k.key)).alias("key"))
 
-    index = keyed(index_keys(tau)).distinct()
-    probe = keyed(probe_keys(tau)).distinct()
-    idx = index.withColumnRenamed("h", "a")
-    prb = probe.withColumnRenamed("h", "b")
+    index = sc.save(keyed(index_keys(tau)), f"{path}/index")
+    idx, prb = index.withColumnRenamed("h", "a"), keyed(probe_keys(tau)).withColumnRenamed("h", "b")
     heavy = sc.save(index.groupBy("key").count().where(F.col("count") > hot).select("key"), f"{path}/hot")
     cold = idx.join(heavy, "key", "left_anti") if heavy.limit(1).count() else idx
     found = cold.join(prb, "key").where("a <> b").select("a", "b")
     if cold is not idx:
         def second(keys: Column, more: Column, name: str) -> DataFrame:
             own = lines.select("h", "_line", "_len", F.explode(keys).alias("k")).select("h", "_line", "k.*")
-            return own.join(heavy, "key").select(F.col("h").alias(name), F.explode(more).alias("key2")).distinct()
+            return own.join(heavy, "key").select(F.col("h").alias(name), F.explode(more).alias("key2"))
 
         found = found.union(second(index_keys(tau), second_keys(tau, False), "a").join(second(probe_keys(tau), second_keys(tau, True), "b"), "key2").where("a <> b").select("a", "b"))
     candidates = sc.save(found.distinct(), f"{path}/candidates")
-    # A fixed-size bitmap of the candidates' hashes keeps other lines' texts from being shuffled.
-    slot = F.pmod(F.col("h"), F.lit(BITMAP_BUCKETS * 32768))
-    hashes = candidates.select(F.explode(F.array("a", "b")).alias("h")).withColumn("_slot", slot)
-    bits = hashes.groupBy((F.col("_slot") / 32768).cast("int").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_slot % 32768 + 1))").alias("_bits"))
-    bits = sc.save(bits, f"{path}/bitmap")
-    seen = lines.withColumn("_slot", slot).withColumn("_bucket", (F.col("_slot") / 32768).cast("int")).join(F.broadcast(bits), "_bucket")
-    seen = seen.where("(conv(hex(substring(_bits, cast((_slot % 32768) div 8 as int) + 1, 1)), 16, 10) & shiftleft(1, cast(_slot % 8 as int))) <> 0")
-    texts = seen.groupBy("h").agg(F.first("_line").alias("_line"))
-    texts = sc.save(texts, f"{path}/texts")
+    # Only candidates' texts are fetched.
+    wanted = marked(line_texts(docs, min_chars), bitmap(candidates.select(F.explode(F.array("a", "b")).alias("h")), f"{path}/wanted"), "_wanted").where("_wanted")
+    texts = sc.save(wanted.groupBy("h").agg(F.first("_line").alias("_line")), f"{path}/texts")
     pairs = candidates.join(texts.select(F.col("h").alias("a"), F.col("_line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("_line").alias("lb")), "b")
-    fine = 2 * tau + 2
     intact = []
-    for i in range(1, fine + 1):
-        at, size = segment("length(la)", i, fine)
+    for i in range(1, FINE + 1):
+        at, size = segment("length(la)", i, FINE)
         intact.append(f"if(instr(substring(lb, greatest(1, {at} - {tau}), {size} + {tau} + least({tau}, {at} - 1)), substring(la, {at}, {size})) > 0, 1, 0)")
-    pairs = pairs.where(f"length(lb) - length(la) BETWEEN 0 AND {tau}").where(f"{' + '.join(intact)} >= {fine - tau}")
-    pairs = pairs.select("a", "b", F.split("la", "").alias("ca"), F.split("lb", "").alias("cb"))
-    return pairs.where(edit_distance("ca", "cb", tau) <= tau).select("a", "b")
+    pairs = pairs.where(f"length(lb) - length(la) BETWEEN 0 AND {tau}").where(f"{' + '.join(intact)} >= {FINE - tau}")
+    return pairs.where(edit_distance("la", "lb", tau) <= tau).select("a", "b")
 
 
 def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
