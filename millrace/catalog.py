@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("transforms", "aggregates", "windowed", "joined", "dialect", "cep", "apps", "ml")
+MODULES: tuple[str, ...] = ("transforms", "aggregates", "windowed", "joined", "dialect", "cep", "apps", "ml", "streamed")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
