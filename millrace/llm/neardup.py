@@ -5,9 +5,11 @@ whole sequence is one shingle. Two documents are linked if ``100 * intersection
 
 1. One hash of a shingle names a register (its top bits) and a value; a register keeps the least value's leading-zero
    count and the mantissa bits after it, 16 bits in all. Documents with equal sets are one class from here on.
-2. Bands of registers are hashed; a band of empty registers only is no evidence and is left out. At the threshold a
-   pair misses every band with a probability below 1e-6, and far below for short documents, whose few different
-   shingles can spoil only as many registers.
+2. Bands of registers are hashed; a band of empty registers only is no evidence and is left out. From some hundred
+   shingles on there are ``BANDS`` bands, and a pair at the threshold misses all with a probability below 1e-6. A
+   smaller set has one band more than the shingles in which it may differ from a linked one, so by the pigeonhole
+   principle one band is equal, and each band still stands for several shingles. The number of bands goes by classes of
+   set sizes; a document gives the bands of its own class and of the next, as a linked one is at most a class away.
 3. In each bucket, members are paired with one centre (the member of the largest class). All pairs are made only in
    buckets of at most ``SMALL`` members. Pairs whose Jaccard estimate from the registers, corrected for chance
    collisions, lies six standard deviations below the threshold are dropped; the others are checked on full sets.
@@ -25,6 +27,8 @@ gives no rows; other columns are ignored, and carried along by ``keep_one``.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +39,9 @@ from millrace.llm import _scratch as sc
 from millrace.llm._text import encoded, mix, split_words
 from millrace.llm.components import connected_components
 
-REGISTERS, BAND, MANTISSA, SMALL, PORTION = 128, 4, 10, 6, 256
+REGISTERS, BANDS, MANTISSA, SMALL, PORTION = 128, 32, 10, 6, 256
+#: Shingles of outsiders that are indexed at once when a cluster's rest is compared.
+REST = 1_500_000
 SIGMAS = 6.0
 
 
@@ -92,10 +98,37 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.clip((raw - chance) / (1 - chance), 0, 1), used
 
 
-SKETCH = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary())])
+def size_classes(percent: int) -> tuple[list[int], list[int]]:
+    """(least set size, number of bands) of each class up to the first with BANDS bands."""
+    least, bands = [1], []
+    while True:
+        nxt = least[-1] * 100 // percent + 1
+        bands.append(min(BANDS, (100 - percent) * (nxt - 1) // percent + 1))
+        if bands[-1] == BANDS:
+            return least, bands
+        least.append(nxt)
+
+
+def band_keys(regs: np.ndarray, n: int, least: list[int], bands: list[int]) -> np.ndarray:
+    """Keys of the bands that aren't empty; those of the last class are the same for all larger sets."""
+    i = min(bisect_right(least, n) - 1, len(bands) - 1)
+    out = []
+    marked = mix(regs.astype(np.uint64) << np.uint64(8) | np.arange(REGISTERS, dtype=np.uint64))
+    for c in {i, min(i + 1, len(bands) - 1)}:
+        k = bands[c]
+        at = np.arange(k) * REGISTERS // k
+        full = np.add.reduceat((regs > 0).astype(np.int64), at) > 0
+        keys = mix(np.add.reduceat(marked, at) + (np.arange(k) + (c << 16)).astype(np.uint64))
+        out.append(keys[full])
+    return np.concatenate(out).view(np.int64)
+
+
+SKETCH = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def sketches(manifest: DataFrame, width: int, text: str, key: str) -> DataFrame:
+def sketches(manifest: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+    sizes = size_classes(percent)
+
     def run(batches):
         for b in batches:
             for block, uri in zip(b.column("block").to_pylist(), b.column("path").to_pylist(), strict=True):
@@ -104,12 +137,13 @@ def sketches(manifest: DataFrame, width: int, text: str, key: str) -> DataFrame:
                 for k, (doc_id, u) in enumerate(zip(t.column(key).to_pylist(), sets_of(encoded(t.column(text).to_pylist()), width), strict=True)):
                     if len(u):
                         s1, s2 = int(u.sum().view(np.int64)), int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
-                        out.append((rid_of(block, k), doc_id, len(u), s1, s2, registers(u)))
+                        regs = registers(u)
+                        out.append((rid_of(block, k), doc_id, len(u), s1, s2, regs, band_keys(np.frombuffer(regs, "<u2"), len(u), *sizes).tolist()))
                     else:
-                        out.append((rid_of(block, k), doc_id, 0, None, None, None))
+                        out.append((rid_of(block, k), doc_id, 0, None, None, None, None))
                 yield sc.batch(SKETCH, out)
 
-    return bl.spread(manifest.select("block", "path")).mapInArrow(run, "rid long, doc_id long, n long, s1 long, s2 long, regs binary")
+    return bl.spread(manifest.select("block", "path")).mapInArrow(run, "rid long, doc_id long, n long, s1 long, s2 long, regs binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -134,10 +168,10 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def send_sets(wanted: DataFrame, manifest: DataFrame, width: int, text: str) -> DataFrame:
-    """wanted (rid, g1, g2, role) -> (g1, g2, role, rid, shingles): sets are computed where their block is read."""
-    asked = wanted.select(F.expr(BLOCK_OF).alias("block"), F.struct(F.expr(PLACE_OF).alias("k"), "g1", "g2", "role", "rid").alias("r"))
+    """wanted (rid, g1, g2, role, label) -> the same with shingles: sets are computed where their block is read."""
+    asked = wanted.select(F.expr(BLOCK_OF).alias("block"), F.struct(F.expr(PLACE_OF).alias("k"), "g1", "g2", "role", "rid", "label").alias("r"))
     by_block = asked.groupBy("block").agg(F.collect_list("r").alias("asked"))
-    schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("role", pa.int32()), ("rid", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("role", pa.int32()), ("rid", pa.int64()), ("label", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -152,7 +186,7 @@ def send_sets(wanted: DataFrame, manifest: DataFrame, width: int, text: str) ->
                 for k, u in zip(places, sets_of(texts, width), strict=True):
                     data = u.tobytes()
                     for q in by_place[k]:
-                        out.append((q["g1"], q["g2"], q["role"], q["rid"], data))
+                        out.append((q["g1"], q["g2"], q["role"], q["rid"], q["label"], data))
                         size += len(data)
                         if size > 2 << 20:
                             yield sc.batch(schema, out)
@@ -161,7 +195,7 @@ def send_sets(wanted: DataFrame, manifest: DataFrame, width: int, text: str) ->
                     yield sc.batch(schema, out)
 
     spread = manifest.select("block", "path").join(by_block, "block")
-    return spread.mapInArrow(run, "g1 long, g2 long, role int, rid long, shingles binary")
+    return spread.mapInArrow(run, "g1 long, g2 long, role int, rid long, label long, shingles binary")
 
 
 class Postings:
@@ -187,21 +221,34 @@ class Postings:
 
 
 def checked_groups(sent: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) within each group: every role-0 set (at most PORTION, they come first) against every role-1 set."""
+    """Links (u, v) within each group: every role-0 set (they come first) against every role-1 set.
+
+    Where rows have labels, only links that join two labels not joined before within the group are given: as many as
+    labels at most, however many links there are.
+    """
     parts = sc.parts(sent.sparkSession)
     ordered = sent.repartition(parts, "g1", "g2").sortWithinPartitions("g1", "g2", "role")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        group, heads, table = None, [], None
+        group, heads, labels, table, up = None, [], [], None, {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         for t in batches:
             out = []
-            for g1, g2, role, rid, data in zip(*(t.column(k).to_pylist() for k in range(5)), strict=True):
+            for g1, g2, role, rid, label, data in zip(*(t.column(k).to_pylist() for k in range(6)), strict=True):
                 if (g1, g2) != group:
-                    group, heads, table = (g1, g2), [], None
+                    group, heads, labels, table = (g1, g2), [], [], None
+                    up.clear()
                 u = np.frombuffer(data, np.uint64)
                 if role == 0:
                     heads.append((rid, u))
+                    labels.append(label)
                     table = None
                     continue
                 if not heads:
@@ -210,7 +257,14 @@ def checked_groups(sent: DataFrame, percent: int) -> DataFrame:
                     table = Postings(heads)
                 inter = table.overlaps(u)
                 hit = np.flatnonzero(100 * inter >= percent * (table.sizes + len(u) - inter))
-                out += [(heads[k][0], rid) for k in hit.tolist() if heads[k][0] != rid]
+                for k in hit.tolist():
+                    if label is not None:
+                        a, b = root(labels[k]), root(label)
+                        if a == b:
+                            continue
+                        up[a] = b
+                    if heads[k][0] != rid:
+                        out.append((heads[k][0], rid))
             yield sc.batch(schema, out)
 
     return ordered.mapInArrow(run, "u long, v long")
@@ -219,8 +273,8 @@ def checked_groups(sent: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, manifest: DataFrame, width: int, text: str, percent: int) -> DataFrame:
     """The pairs (c, x) that are linked. A group (centre, portion) has the centre's set once, then its members'."""
     counts = pairs.groupBy("c").count().withColumn("portions", F.ceil(F.col("count") / PORTION))
-    dealt = pairs.join(counts, "c").select(F.col("x").alias("rid"), F.col("c").alias("g1"), F.expr("pmod(xxhash64(x), portions)").alias("g2"), F.lit(1).alias("role"))
-    centres = dealt.select(F.col("g1").alias("rid"), "g1", "g2", F.lit(0).alias("role")).distinct()
+    dealt = pairs.join(counts, "c").select(F.col("x").alias("rid"), F.col("c").alias("g1"), F.expr("pmod(xxhash64(x), portions)").alias("g2"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("label"))
+    centres = dealt.select(F.col("g1").alias("rid"), "g1", "g2", F.lit(0).alias("role"), "label").distinct()
     return checked_groups(send_sets(dealt.union(centres), manifest, width, text), percent)
 
 
@@ -237,19 +291,17 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, text: str = "text
     spark = docs.sparkSession
     path = path or sc.new_dir(spark, "neardup")
     manifest = bl.write_blocks(docs, path, text)
-    sk = sc.save(sketches(manifest, width, text, key), f"{path}/sketches")
+    sk = sc.save(sketches(manifest, width, percent, text, key), f"{path}/sketches")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("rid"))
-    classes = sk.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(order).alias("o"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("regs").alias("regs"))
-    classes = sc.save(classes.select("n", "s1", "s2", F.col("o.rid").alias("rid"), "least", "copies", "regs"), f"{path}/classes")
+    classes = sk.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(order).alias("o"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    classes = sc.save(classes.select("n", "s1", "s2", F.col("o.rid").alias("rid"), "least", "copies", "regs", "bands"), f"{path}/classes")
     reps = classes.select("rid", "n", "copies", "regs")
 
     # Buckets of bands; a bucket's centre is the member with most copies.
-    size = 2 * BAND
-    bands = F.expr(f"transform(sequence(0, {REGISTERS // BAND - 1}), b -> struct(b AS band, substring(regs, b * {size} + 1, {size}) AS r))")
-    member = reps.select("rid", "copies", F.explode(F.filter(bands, lambda b: b.r != F.lit(bytes(size)))).alias("b")).select(F.xxhash64("b.band", "b.r").alias("bucket"), "rid", "copies")
+    member = classes.select("rid", "n", "copies", F.explode("bands").alias("bucket"))
     rank = F.struct("copies", (-F.col("rid")).alias("m"))
     buckets = member.groupBy("bucket").agg(F.max(rank).alias("top"), F.count("*").alias("size")).where("size > 1").select("bucket", (-F.col("top.m")).alias("c"), "size")
-    met = sc.save(member.select("bucket", "rid").join(buckets, "bucket"), f"{path}/met")
+    met = sc.save(member.select("bucket", "rid", "n").join(buckets, "bucket"), f"{path}/met")
     stars = met.where("c <> rid").select("c", F.col("rid").alias("x"))
     small = met.where(f"size <= {SMALL}").select("bucket", "rid")
     small = small.join(small.select("bucket", F.col("rid").alias("x")), "bucket").where("rid < x").select(F.col("rid").alias("c"), "x")
@@ -272,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, text: str = "text
     named = classes.select("n", "s1", "s2", "rid", "least").join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     leader = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.coalesce("least", F.lit((1 << 63) - 1)), "rid")).alias("o")).select("label", "component_id", F.col("o.rid").alias("leader"))
     of_class = named.join(leader, "label").select("n", "s1", "s2", "component_id", "leader")
-    found = sk.drop("regs").join(of_class, ["n", "s1", "s2"], "left")
+    found = sk.drop("regs", "bands").join(of_class, ["n", "s1", "s2"], "left")
     return found.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leader", "rid").alias("leader")), manifest
 
 
@@ -282,23 +334,23 @@ def residual_links(met: DataFrame, labels: DataFrame, manifest: DataFrame, width
     All members that met a centre in a large bucket are one cluster of it, so the compared pairs include all that share
     a bucket. Role 0 has the members outside the centre's component, in portions; role 1 all members, in portions.
     """
-    member = met.where(f"size > {SMALL}").select("c", F.col("rid")).distinct()
+    member = met.where(f"size > {SMALL}").select("c", "rid", "n").distinct()
     lab = labels.select("v", "label")
     named = member.join(lab.withColumnRenamed("v", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     centre = lab.select(F.col("v").alias("c"), F.col("label").alias("own"))
     named = sc.save(named.join(centre, "c", "left").withColumn("out", F.col("label") != F.coalesce("own", F.col("c"))), f"{path}/clusters")
-    stat = named.groupBy("c").agg(F.sum(F.col("out").cast("int")).alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0")
+    stat = named.groupBy("c").agg(F.sum(F.col("out").cast("int")).alias("n_out"), F.sum(F.when(F.col("out"), F.col("n"))).alias("rest"), F.count("*").alias("n_all")).where("n_out > 0")
     stat = sc.save(stat, f"{path}/residual")
     if stat.limit(1).count() == 0:
         return None
     todo = named.join(stat, "c")
-    rows = F.greatest(F.ceil(F.col("n_out") / PORTION), F.lit(1))
+    rows = F.greatest(F.ceil(F.col("rest") / REST), F.lit(1))
     cols = F.greatest(F.ceil(F.col("n_all") / (4 * PORTION)), F.lit(1))
     # Group (centre, portion of outsiders x portion of members), numbered row-wise.
     outs = todo.where("out").withColumn("r", F.pmod(F.xxhash64("rid"), rows)).withColumn("cols", cols)
-    heads = outs.select("rid", "c", "cols", "r").select("rid", F.col("c").alias("g1"), F.explode(F.expr("transform(sequence(0L, cols - 1), k -> r * cols + k)")).alias("g2"), F.lit(0).alias("role"))
+    heads = outs.select("rid", F.col("c").alias("g1"), F.explode(F.expr("transform(sequence(0L, cols - 1), k -> r * cols + k)")).alias("g2"), F.lit(0).alias("role"), "label")
     alls = todo.withColumn("cols", cols).withColumn("rows", rows).withColumn("k", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("cols")))
-    tails = alls.select("rid", F.col("c").alias("g1"), F.explode(F.expr("transform(sequence(0L, rows - 1), r -> r * cols + k)")).alias("g2"), F.lit(1).alias("role"))
+    tails = alls.select("rid", F.col("c").alias("g1"), F.explode(F.expr("transform(sequence(0L, rows - 1), r -> r * cols + k)")).alias("g2"), F.lit(1).alias("role"), "label")
     return sc.save(checked_groups(send_sets(heads.union(tails), manifest, width, text), percent), f"{path}/residual-links")
 
 
