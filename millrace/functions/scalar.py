@@ -13,7 +13,7 @@ def substring0(s: Column, start, length) -> Column:
     """From a byte offset counted from 0; a start outside the string gives ''."""
     b = F.encode(s, "UTF-8")
     start, length = F.lit(start), F.lit(length)
-    part = F.decode(F.substring(b, start + 1, length), "UTF-8")
+    part = F.substring(b, start + 1, length).cast("string")  # a cut character stays as it is
     return F.when(s.isNull(), None).when((start < 0) | (start >= F.octet_length(b)), F.lit("")).otherwise(part)
 
 
