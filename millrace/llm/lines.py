@@ -8,8 +8,8 @@ within ``tau`` edits (insert, delete, replace of a character) has an earlier fir
 2. A line of length l is cut into tau + 1 segments of fixed places. A line within tau edits has at least one of them as
    a substring, at a place that the multi-match-aware bounds narrow to a few for each length l .. l + tau. Segments
    and substrings meet as hashes of (length, segment number, text) in a sort-merge join, which AQE can split.
-3. A key that many lines share (more than ``hot`` index lines) goes through a second partition: the line without the
-   matched segment is cut into 2 * tau pieces, of which at least one is intact too, and pairs must meet on both.
+3. A key that many lines share (more than ``hot`` index lines) goes through a second partition: what is left and right
+   of the matched segment is cut into pieces of which some must be intact too, and pairs must meet on both.
 4. Texts are fetched for candidate lines only (a bitmap of their hashes, of fixed size, is broadcast), then pairs are
    checked: most pieces of a finer partition must be intact (a necessary condition), then a banded bit-parallel edit
    distance decides. Its column vector holds the 2 * tau + 1 diagonals of the band as bits of one integer.
@@ -53,12 +53,15 @@ def index_keys(tau: int) -> Column:
     return F.expr(f"array({', '.join(keys)})")
 
 
-def probe_keys(tau: int) -> Column:
+def probe_keys(tau: int, full: bool = False) -> Column:
+    """Keys of the substrings that may be another line's segment; its own segments are in ``index_keys`` (or with ``full`` here too)."""
     keys = []
     for delta in range(tau + 1):
         for i in range(1, tau + 2):
             at, size = segment(f"(_len - {delta})", i, tau + 1)
             for d in shifts(delta, i, tau):
+                if not (full or delta or d):
+                    continue
                 keys.append(f"struct({i} AS seg, {d} AS shift, _len - {delta} AS of, xxhash64(_len - {delta}, {i}, substring(_line, {at} + {d}, {size})) AS key)")
     return F.expr(f"array({', '.join(keys)})")
 
@@ -74,7 +77,9 @@ def pieces(tau: int, seg: int) -> list[tuple[str, str]]:
 
 
 def second_keys(tau: int, probe: bool) -> Column:
-    """Keys of a hot first key and an intact piece of the rest; a piece may stand up to tau to either side."""
+    """Keys of a hot first key and further intact pieces. Columns: key, seg, shift, of, _line, _len."""
+    if tau == 2:
+        return _second_keys_of_two(probe)
     cases = []
     for seg in range(1, tau + 2):
         keys = [f"xxhash64(key, {k}, substring(_line, {at} + {d}, {size}))" for k, (at, size) in enumerate(pieces(tau, seg)) for d in (range(-tau, tau + 1) if probe else (0,))]
@@ -82,6 +87,31 @@ def second_keys(tau: int, probe: bool) -> Column:
     return F.expr(f"CASE {' '.join(cases)} END")
 
 
+def _second_keys_of_two(probe: bool) -> Column:
+    """For two edits. The multi-match-aware bounds leave at most (0, 2), (1, 1) or (2, 0) of them left and right of
+    segment 1, 2 or 3.
+
+    A part with two edits is quartered: its first quarter is intact and in place, or its last one is intact and moved
+    as its end is, or each has one edit and both middle quarters are intact, moved by at most one. A part with one edit
+    is halved: one half is intact, and on its side nothing has moved.
+    """
+    moved, grown = ("shift", "(_len - of)") if probe else ("0", "0")
+
+    def two(at: str, size: str, end: str) -> list[str]:
+        q = f"({size} div 4)"
+        keys = [f"xxhash64(key, 1, substring(_line, {at}, {q}))", f"xxhash64(key, 2, substring(_line, {at} + 3 * {q} + {end}, {size} - 3 * {q}))"]
+        return keys + [f"xxhash64(key, 3, substring(_line, {at} + {q} + {d}, 2 * {q}))" for d in ((-1, 0, 1) if probe else (0,))]
+
+    at2, size2 = segment("of", 2, 3)
+    at3, _ = segment("of", 3, 3)
+    left, right = f"({at2} - 1)", f"(of - {at3} + 1)"
+    lefts = [f"substring(_line, 1, {left} div 2)", f"substring(_line, 1 + {left} div 2 + {moved}, {left} - {left} div 2)"]
+    rights = [f"substring(_line, {at3} + {moved}, {right} div 2)", f"substring(_line, {at3} + {right} div 2 + {grown}, {right} - {right} div 2)"]
+    both = [f"xxhash64(key, {2 * i + j}, {a}, {b})" for i, a in enumerate(lefts) for j, b in enumerate(rights)]
+    cases = {1: two(at2, f"(of - {at2} + 1)", grown), 2: both, 3: two("1", f"({at3} - 1)", moved)}
+    return F.expr("CASE " + " ".join(f"WHEN seg = {k} THEN array({', '.join(v)})" for k, v in cases.items()) + " END")
+
+
 def edit_distance(a: str, b: str, tau: int) -> Column:
     """Banded bit-parallel edit distance of two strings, len(a) <= len(b) <= len(a) + tau; exact up to tau.
 
@@ -149,23 +179,30 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, path: str, tau: int, min_char
     idx, prb = index.withColumnRenamed("h", "a"), keyed(probe_keys(tau)).withColumnRenamed("h", "b")
     heavy = sc.save(index.groupBy("key").count().where(F.col("count") > hot).select("key"), f"{path}/hot")
     cold = idx.join(heavy, "key", "left_anti") if heavy.limit(1).count() else idx
-    found = cold.join(prb, "key").where("a <> b").select("a", "b")
+    # Equal lengths and places meet among the index keys themselves.
+    twin = cold.withColumnRenamed("a", "b")
+    found = cold.join(prb, "key").where("a <> b").select("a", "b").union(cold.join(twin, "key").where("a < b").select("a", "b"))
     if cold is not idx:
         def second(keys: Column, more: Column, name: str) -> DataFrame:
-            own = lines.select("h", "_line", "_len", F.explode(keys).alias("k")).select("h", "_line", "k.*")
+            own = lines.select("h", "_line", "_len", F.explode(keys).alias("k")).select("h", "_line", "_len", "k.*")
             return own.join(heavy, "key").select(F.col("h").alias(name), F.explode(more).alias("key2"))
 
-        found = found.union(second(index_keys(tau), second_keys(tau, False), "a").join(second(probe_keys(tau), second_keys(tau, True), "b"), "key2").where("a <> b").select("a", "b"))
+        found = found.union(second(index_keys(tau), second_keys(tau, False), "a").join(second(probe_keys(tau, True), second_keys(tau, True), "b"), "key2").where("a <> b").select("a", "b"))
     candidates = sc.save(found.distinct(), f"{path}/candidates")
     # Only candidates' texts are fetched.
     wanted = marked(line_texts(docs, min_chars), bitmap(candidates.select(F.explode(F.array("a", "b")).alias("h")), f"{path}/wanted"), "_wanted").where("_wanted")
     texts = sc.save(wanted.groupBy("h").agg(F.first("_line").alias("_line")), f"{path}/texts")
     pairs = candidates.join(texts.select(F.col("h").alias("a"), F.col("_line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("_line").alias("lb")), "b")
-    intact = []
-    for i in range(1, FINE + 1):
-        at, size = segment("length(la)", i, FINE)
-        intact.append(f"if(instr(substring(lb, greatest(1, {at} - {tau}), {size} + {tau} + least({tau}, {at} - 1)), substring(la, {at}, {size})) > 0, 1, 0)")
-    pairs = pairs.where(f"length(lb) - length(la) BETWEEN 0 AND {tau}").where(f"{' + '.join(intact)} >= {FINE - tau}")
+
+    def intact(n: int) -> str:
+        """All but tau of n pieces of the shorter line stand in the longer one, at most tau away."""
+        found = []
+        for i in range(1, n + 1):
+            at, size = segment("length(la)", i, n)
+            found.append(f"if(instr(substring(lb, greatest(1, {at} - {tau}), {size} + {tau} + least({tau}, {at} - 1)), substring(la, {at}, {size})) > 0, 1, 0)")
+        return f"{' + '.join(found)} >= {n - tau}"
+
+    pairs = pairs.where(f"length(lb) - length(la) BETWEEN 0 AND {tau} AND {intact(2 * tau + 2)} AND {intact(FINE)}")
     return pairs.where(edit_distance("la", "lb", tau) <= tau).select("a", "b")
 
 
@@ -186,18 +223,18 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT, counts: bool = True) -> DataFrame:
     """The same rows and columns without the removed lines, with ``counts`` also `_n_lines` and `_n_removed`."""
-    gone = removed_places(docs, tau, min_chars, hot).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "gone")
+    gone = removed_places(docs, tau, min_chars, hot).select(F.col("doc_id").alias("_gdoc"), F.col("th").alias("_gth"), "gone")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"), F.split(F.col("text").cast("string"), "\n").alias("_lines"))
-    g = gone.withColumnRenamed("_doc", "_gdoc").withColumnRenamed("_th", "_gth")
-    both = rows.join(g, F.col("_doc").eqNullSafe(F.col("_gdoc")) & (F.col("_th") == F.col("_gth")), "left")
-    # The removed places as a map: one lookup a line.
-    kept = F.expr("filter(_lines, (x, i) -> NOT array_contains(gone, i))")
-    text = F.when(F.col("gone").isNull(), F.col("_row.text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
+    both = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_gdoc")) & (F.col("_th") == F.col("_gth")), "left")
+    # As a lambda's argument the lines are split once a row.
+    cut = "transform(array(split(cast(_row.text AS string), '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\n'))[0]"
+    text = F.when(F.col("gone").isNull(), F.col("_row.text").cast("string")).otherwise(F.expr(cut))
     cols = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    n_lines = F.size(F.split(F.col("_row.text").cast("string"), "\n"))
     if not counts:
         return both.select(*cols)
-    return both.select(*cols, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("_n_removed"))
+    return both.select(*cols, F.coalesce(n_lines, F.lit(0)).cast("long").alias("_n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("_n_removed"))
 
 
 def oracle(tau: int = TAU, min_chars: int = MIN_CHARS) -> str:
