@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _scratch as sc
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Hashes in a bucket of an exchange, about.
 BUCKET = 400_000
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 _RNG = np.random.default_rng(971)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -19,18 +19,17 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0xD6E8FEB86659FD93  # odd
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64 for k up to n."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    """base**k and base**-k modulo 2**64 for k up to n, at least; made once a worker, and again only if more are needed."""
+    if not _powers or len(_powers[0]) <= n:
+        size = 1 << max(21, int(n).bit_length())
         p, q = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         p[0] = q[0] = 1
-        _powers[size] = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-    return _powers[size]
+        _powers[:] = [np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)]
+    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
