@@ -105,8 +105,14 @@ def judge(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     rules = RULES if rules is None else rules
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = cascade_order(slim, rules)
-    df = measure(slim).withColumn("rejected_by", verdict(rules, order))
-    return df.select("doc_id", *BASE, base_failed().alias("base_failed"), "rejected_by", F.col("rejected_by").isNull().alias("kept"))
+    df = fenced(measure(slim).withColumn("rejected_by", verdict(rules, order)))
+    return df.select("doc_id", *BASE, base_failed().alias("base_failed"), "rejected_by", (F.col("rejected_by").isNull() & (F.col("_fence") >= 0)).alias("kept"))
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """Adds `_fence`. A filter isn't pushed below a projection that isn't deterministic; pushed, it would copy each
+    column of the chain into each of its uses, and grow exponentially. What is filtered on must use the column."""
+    return df.withColumn("_fence", F.monotonically_increasing_id())
 
 
 def filter_documents(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
@@ -115,9 +121,7 @@ def filter_documents(docs: DataFrame, rules: dict[str, str] | None = None) -> Da
     order = cascade_order(docs.select("text"), rules)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     df = measure(docs.select(row.alias("_row"), F.col("text"))).withColumn("_by", verdict(rules, order))
-    # A filter is not pushed below a projection that isn't deterministic. Pushed, it would copy each column of the chain
-    # into each use of it, and the condition would grow exponentially.
-    df = df.withColumn("_fence", F.monotonically_increasing_id())
+    df = fenced(df)
     return df.where("_by IS NULL AND _fence >= 0").select("_row.*")
 
 
