@@ -201,23 +201,57 @@ def send_sets(wanted: DataFrame, manifest: DataFrame, width: int, text: str) ->
 class Postings:
     """An inverted index of some sets: exact overlaps of another set with all of them, in memory linear in their sizes."""
 
-    def __init__(self, heads: list[tuple[int, np.ndarray]]):
+    def __init__(self, heads: list[tuple[int, np.ndarray]], percent: int):
+        self.heads, self.percent = heads, percent
         self.sizes = np.array([len(u) for _, u in heads])
         words = np.concatenate([u for _, u in heads])
         order = np.argsort(words, kind="stable")
         self.owner = np.repeat(np.arange(len(heads)), self.sizes)[order]
         self.words, first = np.unique(words[order], return_index=True)
         self.first = np.append(first, len(words))
-
-    def overlaps(self, u: np.ndarray) -> np.ndarray:
+        if len(heads) > 1:
+            self.rare = np.zeros(len(words), bool)  # of each posting: whether it is in its owner's prefix
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            at = 0
+            for _, u in heads:
+                self.rare[rank[at : at + len(u)][self.prefix(u)]] = True
+                at += len(u)
+
+    def places(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each hash stands in ``words``, in how many heads it is)"""
         at = np.searchsorted(self.words, u)
         at[at == len(self.words)] = 0
-        at = at[self.words[at] == u]
-        lo, n = self.first[at], self.first[at + 1] - self.first[at]
+        return at, np.where(self.words[at] == u, self.first[at + 1] - self.first[at], 0)
+
+    def prefix(self, u: np.ndarray) -> np.ndarray:
+        """Places of a set's rarest hashes, so many that two sets at the threshold share one among theirs."""
+        n = len(u) - -(-len(u) * self.percent // 100) + 1
+        return np.lexsort((u, self.places(u)[1]))[:n]
+
+    def postings(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        lo = self.first[at]
+        return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+    def overlaps(self, u: np.ndarray) -> np.ndarray:
+        """With each head; 0 where the rarest hashes already rule the pair out."""
+        at, n = self.places(u)
+        out = np.zeros(len(self.sizes), np.int64)
         if len(self.sizes) == 1:
-            return np.array([len(at)])
-        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else at
-        return np.bincount(self.owner[where], minlength=len(self.sizes))
+            out[0] = np.count_nonzero(n)
+            return out
+        k = self.prefix(u)
+        k = k[n[k] > 0]
+        if not len(k):
+            return out
+        where = self.postings(at[k], n[k])
+        near = np.unique(self.owner[where[self.rare[where]]])
+        if len(near) <= 64:
+            for h in near.tolist():
+                out[h] = len(np.intersect1d(self.heads[h][1], u, assume_unique=True))
+            return out
+        full = n > 0
+        return np.bincount(self.owner[self.postings(at[full], n[full])], minlength=len(self.sizes))
 
 
 def checked_groups(sent: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +288,7 @@ def checked_groups(sent: DataFrame, percent: int) -> DataFrame:
                 if not heads:
                     continue
                 if table is None:
-                    table = Postings(heads)
+                    table = Postings(heads, percent)
                 inter = table.overlaps(u)
                 hit = np.flatnonzero(100 * inter >= percent * (table.sizes + len(u) - inter))
                 for k in hit.tolist():
