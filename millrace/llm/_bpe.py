@@ -55,7 +55,7 @@ class PretokenCache(dict):
 class BpeCoder:
     """Encodes whole texts to packed ids exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 500_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -101,7 +101,7 @@ class BpeCoder:
 _coders: dict[tuple, BpeCoder] = {}
 
 
-def coder(path: str, cache: int = 700_000) -> BpeCoder:
+def coder(path: str, cache: int = 500_000) -> BpeCoder:
     """One coder a worker process."""
     if (key := (path, cache)) not in _coders:
         _coders.clear()
