@@ -10,6 +10,8 @@ whole sequence is one shingle. Two documents are linked if ``100 * intersection
    smaller set has one band more than the shingles in which it may differ from a linked one, so by the pigeonhole
    principle one band is equal, and each band still stands for several shingles. The number of bands goes by classes of
    set sizes; a document gives the bands of its own class and of the next, as a linked one is at most a class away.
+   The equal band may be empty in both sets. For each empty band of its own, a smaller set therefore gives as keys that
+   band with its first shingles in hash order, so many that two linked sets share one among theirs (a prefix filter).
 3. In each bucket, members are paired with one centre (the member of the largest class). All pairs are made only in
    buckets of at most ``SMALL`` members. Pairs whose Jaccard estimate from the registers, corrected for chance
    collisions, lies six standard deviations below the threshold are dropped; the others are checked on full sets.
@@ -123,6 +125,22 @@ def band_keys(regs: np.ndarray, n: int, least: list[int], bands: list[int]) -> n
     return np.concatenate(out).view(np.int64)
 
 
+def prefix_keys(u: np.ndarray, regs: np.ndarray, percent: int, least: list[int], bands: list[int]) -> np.ndarray:
+    """Keys (class, empty band, shingle of the prefix) of sorted hashes, for sets in reach of the pigeonhole principle."""
+    n = len(u)
+    smaller = -(-n * percent // 100)  # the smallest set that may be linked
+    if (100 - percent) * smaller // percent >= BANDS:
+        return np.zeros(0, np.int64)
+    i = min(bisect_right(least, n) - 1, len(bands) - 1)
+    first = mix(u[: n - smaller + 1])
+    out = [np.zeros(0, np.uint64)]
+    for c in {i, min(i + 1, len(bands) - 1)}:
+        k = bands[c]
+        for e in np.flatnonzero(np.add.reduceat((regs > 0).astype(np.int64), np.arange(k) * REGISTERS // k) == 0).tolist():
+            out.append(mix(first + np.uint64(1 << 40 | c << 16 | e)))
+    return np.concatenate(out).view(np.int64)
+
+
 SKETCH = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -138,7 +156,9 @@ def sketches(manifest: DataFrame, width: int, percent: int, text: str, key: str)
                     if len(u):
                         s1, s2 = int(u.sum().view(np.int64)), int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
                         regs = registers(u)
-                        out.append((rid_of(block, k), doc_id, len(u), s1, s2, regs, band_keys(np.frombuffer(regs, "<u2"), len(u), *sizes).tolist()))
+                        r = np.frombuffer(regs, "<u2")
+                        keys = band_keys(r, len(u), *sizes).tolist() + prefix_keys(u, r, percent, *sizes).tolist()
+                        out.append((rid_of(block, k), doc_id, len(u), s1, s2, regs, keys))
                     else:
                         out.append((rid_of(block, k), doc_id, 0, None, None, None, None))
                 yield sc.batch(SKETCH, out)

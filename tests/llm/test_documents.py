@@ -143,6 +143,37 @@ def test_keep_one(docs):
     assert len([t for t in kept if not shingles(t, 3)]) == len([t for _, t in rows if not shingles(t, 3)])
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_small_linked_sets_share_a_key(percent):
+    """At the largest possible difference, taken from and added to sets of each size from 1 to 200."""
+    r = np.random.default_rng(percent)
+    sizes = neardup.size_classes(percent)
+
+    def keys(u):
+        regs = np.frombuffer(neardup.registers(u), "<u2")
+        return set(neardup.band_keys(regs, len(u), *sizes).tolist()) | set(neardup.prefix_keys(u, regs, percent, *sizes).tolist())
+
+    for n in range(1, 201):
+        for seed in range(60):
+            union = r.permutation(np.unique(r.integers(0, 1 << 64, n * 100 // percent, dtype=np.uint64)))
+            d = len(union) * (100 - percent) // 100
+            lost = (0, d, d // 2)[seed % 3]
+            a, b = np.sort(union[lost:]), np.sort(np.concatenate([union[:lost], union[d:]]))
+            assert 100 * (len(union) - d) >= percent * len(union)
+            assert keys(a) & keys(b), (n, seed)
+
+
+def test_one_word_more(spark):
+    """Nine words and the same with a tenth (J = 7/8): the added shingle may be alone in its half of the registers."""
+    r = random.Random(9)
+    rows = []
+    for k in range(600):
+        w = [f"v{r.randrange(10**9)}" for _ in range(10)]
+        rows += [(2 * k, " ".join(w[:9])), (2 * k + 1, " ".join(w))]
+    got = neardup.digests(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(i, i - i % 2) for i in range(1200)]
+
+
 def test_hyperminhash_estimate():
     r = np.random.default_rng(2)
     for j in (0.0, 0.5, 0.9):
