@@ -5,7 +5,9 @@ page_id is a response; others are revisit records that refer to it and hold the
 
 Reader: a record is checked (member or version line, lengths, block digest). After a failed check it looks for the next
 place from which a whole valid member (or, in plain files, a version line with a valid record) can be read, goes on
-there, and reports the bytes between as a quarantined gap; later records are not lost.
+there, and reports the bytes between as a quarantined gap; later records are not lost. The bytes that a damaged member
+yields are read like a plain file, so its other records aren't lost either; its gap names the places in its body. Where
+the inflating itself failed, only records whose block digest agrees are taken.
 
 Defined results: null html is an empty payload; a null page_id is kept and reads back as null; rows with equal payload
 and the same smallest page_id are all responses; if a payload has only null identifiers, all its rows are responses;
@@ -114,65 +116,83 @@ def parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(fields, block), start + n + 4
 
 
-def inflate(data: bytes, at: int, step: int = 1 << 20) -> tuple[bytes, int]:
-    """Inflates one member, feeding it in steps so that what follows it isn't copied."""
+def inflate(data: bytes, at: int, step: int = 1 << 20) -> tuple[bytes, int, str]:
+    """(what one member yields, where it ends, what is wrong with it or ''), fed in steps so that what follows it isn't copied."""
     z, out, view, to = zlib.decompressobj(31), [], memoryview(data), at
-    try:
-        while not z.eof and to < len(data):
+    while not z.eof and to < len(data):
+        before = z.copy()
+        try:
             out.append(z.decompress(view[to : to + step]))
             to += step
-    except zlib.error as e:
-        raise Damage(f"inflate: {e}") from e
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), to, f"inflate: {e}"
+            z, step = before, step // 2  # what comes before the damaged byte is still wanted
     if not z.eof:
-        raise Damage("the member has no end")
-    return b"".join(out), min(to, len(data)) - len(z.unused_data)
-
-
-def records_in(body: bytes) -> list[Record]:
-    out, at = [], 0
-    while at < len(body):
-        r, at = parse(body, at)
-        out.append(r)
-    return out
+        return b"".join(out), len(data), "the member has no end"
+    return b"".join(out), min(to, len(data)) - len(z.unused_data), ""
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records that can be read, and the gaps between them, in file order.
-
-    A byte is inflated once, unless a place inside a gap looks like a member's start.
-    """
+def salvage_plain(data: bytes) -> Iterator[Record | Gap]:
     at, bad, why = 0, None, ""
-    zipped = data[:3] == GZIP or (data.find(GZIP) >= 0 and not LINE.search(data))
     while at < len(data):
         try:
-            if zipped:
-                if data[at : at + 3] != GZIP:
-                    raise Damage("no member")
-                body, nxt = inflate(data, at)
-                found = records_in(body)
-            else:
-                one, nxt = parse(data, at)
-                found = [one]
+            one, nxt = parse(data, at)
         except Damage as e:
             if bad is None:
                 bad, why = at, str(e)
-            if zipped:
-                at = data.find(GZIP, at + 1)
-            else:
-                m = LINE.search(data, at + 1)
-                at = m.start() if m else -1
-            if at < 0:
+            m = LINE.search(data, at + 1)
+            if not m:
                 break
+            at = m.start()
             continue
         if bad is not None:
             yield Gap(bad, at, why)
             bad = None
-        yield from found
+        yield one
         at = nxt
     if bad is not None:
         yield Gap(bad, len(data), why)
 
 
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All records that can be read, and the gaps between them, in file order.
+
+    A byte is inflated once, unless a place inside a gap looks like a member's start.
+    """
+    if not (data[:3] == GZIP or (data.find(GZIP) >= 0 and not LINE.search(data))):
+        yield from salvage_plain(data)
+        return
+    at, bad, why = 0, None, ""
+    while 0 <= at < len(data):
+        body, nxt, broken = inflate(data, at) if data[at : at + 3] == GZIP else (b"", at, "no member")
+        found = list(salvage_plain(body))
+        inner = [f"bytes {x.start} to {x.end} of the member's body: {x.reason}" for x in found if isinstance(x, Gap)]
+        if broken.startswith("inflate"):
+            held = sum(isinstance(x, Record) and not x.fields.get("warc-block-digest", "").startswith("sha1:") for x in found)
+            found = [x for x in found if isinstance(x, Gap) or x.fields.get("warc-block-digest", "").startswith("sha1:")]
+            inner += [f"{held} records without a digest"] * (held > 0)
+        some = any(isinstance(x, Record) for x in found)
+        if bad is not None and (some or not (broken or found)):
+            yield Gap(bad, at, why)
+            bad = None
+        if some:
+            notes = iter(inner)
+            for x in found:
+                if isinstance(x, Record):
+                    yield x
+                elif not broken:
+                    yield Gap(at, nxt, next(notes))
+        if broken or (found and not some):
+            if bad is None:
+                bad, why = at, "; ".join([broken, *inner] if broken else inner)
+            at = data.find(GZIP, at + 1)
+        else:
+            at = nxt
+    if bad is not None:
+        yield Gap(bad, len(data), why)
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 32 << 20) -> DataFrame:
     """Writes all pages below ``path``; returns the written manifest (path, n_records, n_bytes)."""
     spark = pages.sparkSession

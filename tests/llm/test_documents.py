@@ -283,6 +283,30 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and [type(x) for x in warc.salvage(b"nothing here")] == [warc.Gap]
 
 
+def test_salvage_within_a_member():
+    """Several records a member: one bad record, a cut tail or a damaged byte loses no other record."""
+    noise = random.Random(6)
+    recs = [warc.build(k, f"u{k}", noise.randbytes(3000), None, False) for k in range(8)]
+    body = bytearray(b"".join(recs))
+    body[len(recs[0]) + len(recs[1]) + 2000] ^= 1
+    def ids(data):
+        return [x.fields["warc-record-id"] if isinstance(x, warc.Record) else "gap" for x in warc.salvage(data)]
+    name = [warc.record_id(k) for k in range(8)]
+    after = warc.member(warc.build(9, "u9", b"later", None, False))
+    assert ids(warc.member(bytes(body)) + after) == [*name[:2], "gap", *name[3:], warc.record_id(9)]
+    gap = next(x for x in warc.salvage(warc.member(bytes(body))) if isinstance(x, warc.Gap))
+    assert (gap.start, gap.end) == (0, len(warc.member(bytes(body)))) and f"bytes {len(recs[0] + recs[1])} to {len(recs[0] + recs[1] + recs[2])} of" in gap.reason
+    whole = warc.member(b"".join(recs))
+    assert ids(whole) == name
+    got = ids(whole[: len(whole) * 5 // 8])
+    assert got[:4] == name[:4] and set(got[4:]) <= {name[4], "gap"}
+    crc = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert ids(crc + after) == [*name, "gap", warc.record_id(9)]
+    # Without digests of their own, records of a member whose checksum is wrong can't be vouched for.
+    bare = warc.member(b"".join(recs).replace(b"WARC-Block-Digest", b"WARC-Other-Digest"))
+    assert ids(bare) == name and ids(bare[:-8] + bytes([bare[-8] ^ 1]) + bare[-7:]) == ["gap"]
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 37)
     r = np.random.default_rng(3)
