@@ -49,6 +49,11 @@ def sql_functions(spark, d):
     return _engine(spark, d).select("SELECT event_id, upper(concat(event_type, '-', CAST(user_id AS STRING))) AS tag FROM sql_events ORDER BY event_id LIMIT 50")
 
 
+@query("SELECT event_id, upper(concat(event_type, '-', CAST(user_id AS VARCHAR))) AS tag FROM events")
+def sql_functions_all(spark, d):
+    return _engine(spark, d).select("SELECT event_id, upper(concat(event_type, '-', CAST(user_id AS STRING))) AS tag FROM sql_events")
+
+
 @query("SELECT event_type, count(DISTINCT user_id) AS users, round(stddev(value), 6) AS sd FROM events GROUP BY event_type")
 def sql_distinct_stddev(spark, d):
     return _engine(spark, d).select("SELECT event_type, COUNT(DISTINCT user_id) AS users, round(STDDEV(value), 6) AS sd FROM sql_events GROUP BY event_type")
