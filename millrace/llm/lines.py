@@ -1,22 +1,27 @@
 r"""Line dedup by a segment-partition edit join (operator 5), with DataFrame and SQL functions only.
 
-Lines are the parts of a text between newlines; those of at least ``min_chars`` characters take part. Among all
-occurrences, a line stays only at its first place (smallest doc_id, then place), and not even there if a different line
-within ``tau`` edits (insert, delete, replace of a character) has an earlier first place.
+Lines are the parts of a text between newlines. Among all occurrences, a line stays only at its first place (smallest
+doc_id, then place). A line of at least ``min_chars`` characters doesn't stay even there if a different line of that
+length, within ``tau`` edits (insert, delete, replace of a character), has an earlier first place.
 
-1. Occurrences are reduced to distinct lines by a 64-bit hash with their first place; no text moves.
+1. Occurrences are reduced to distinct lines by a 128-bit hash, with their first place and their keys; no text moves.
 2. A line of length l is cut into tau + 1 segments of fixed places. A line within tau edits has at least one of them as
-   a substring, at a place that the multi-match-aware bounds narrow to a few for each length l .. l + tau. Segments
-   and substrings meet as hashes of (length, segment number, text) in a sort-merge join, which AQE can split.
-3. A key that many lines share (more than ``hot`` index lines) goes through a second partition: what is left and right
-   of the matched segment is cut into pieces of which some must be intact too, and pairs must meet on both.
-4. Texts are fetched for candidate lines only (a bitmap of their hashes, of fixed size, is broadcast), then pairs are
-   checked: most pieces of a finer partition must be intact (a necessary condition), then a banded bit-parallel edit
-   distance decides. Its column vector holds the 2 * tau + 1 diagonals of the band as bits of one integer.
+   a substring, at a place that the multi-match-aware bounds narrow to a few for each length l .. l + tau. Equal
+   substrings that stand for several lengths are one key, so a line has at most eight keys for two edits.
+3. Keys are counted first. A key of two lines is a pair already; the lines of a key with up to ``hot`` lines are joined.
+4. A key of more lines never gives all its pairs. Its earliest line is the pivot; lines within tau edits of it are
+   settled. Every other line gives second keys, relative to the pivot, that two lines share only if they are alike where
+   they differ from the pivot (see ``second_keys``), and meets only the lines that have one of them.
+5. Texts are fetched for candidate lines only (a bitmap of their hashes, sized by their count and bounded, is broadcast
+   and keeps most others from being shuffled), then pairs are checked: most pieces of finer and finer partitions must be
+   intact (a necessary condition), then a banded bit-parallel edit distance decides. Its column vector holds the
+   2 * tau + 1 diagonals of the band as bits of one integer.
+6. ``dedup`` joins only the rows that lose lines with their places; the others are passed on where they are read.
 
 Defined results: a null text has no lines and stays null; null identifiers count as the smallest; rows with equal
-identifier and text count as one place, so both keep what either keeps; blank and short lines always stay; an empty
-table gives no rows; other columns, whatever they are called, are carried along by ``dedup``.
+identifier and text count as one place, so both keep what either keeps; lines without a word always stay if they are
+shorter than ``min_chars``; lines and texts of any length are taken whole; an empty table gives no rows; other columns,
+whatever they are called, are carried along by ``dedup``.
 """
 
 from __future__ import annotations
@@ -26,10 +31,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _scratch as sc
 
-#: Pieces of a line that must nearly all be intact before its distance is computed.
-FINE = 24
-TAU, MIN_CHARS, HOT = 2, 20, 64
-BITMAP_BUCKETS = 512  # of 32,768 bits: 2 MB
+#: Numbers of pieces of a line that must nearly all be intact before its distance is computed.
+FINER = (4, 8, 24)
+TAU, MIN_CHARS, HOT = 2, 20, 32
+#: A bitmap's buckets of 32,768 bits: 16 bits an entry, 64 MB at most.
+MOST_BUCKETS = 16_384
 
 
 def segment(length: str, i: int, n: int) -> tuple[str, str]:
@@ -45,71 +51,85 @@ def shifts(delta: int, i: int, tau: int) -> range:
     return range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1)
 
 
-def index_keys(tau: int) -> Column:
-    keys = []
-    for i in range(1, tau + 2):
-        at, size = segment("_len", i, tau + 1)
-        keys.append(f"struct({i} AS seg, 0 AS shift, _len AS of, xxhash64(_len, {i}, substring(_line, {at}, {size})) AS key)")
-    return F.expr(f"array({', '.join(keys)})")
-
+def substrings(tau: int, r: int) -> list[tuple[int, int, int]]:
+    """(segment, start, size) of the substrings that a line gives as keys, its own segments first.
 
-def probe_keys(tau: int, full: bool = False) -> Column:
-    """Keys of the substrings that may be another line's segment; its own segments are in ``index_keys`` (or with ``full`` here too)."""
-    keys = []
+    The line has (tau + 1) * q + r characters; start counts from (segment - 1) * q, size from q. A substring's size
+    tells the other line's length up to tau, so equal ones for several lengths are one.
+    """
+    n, out = tau + 1, []
     for delta in range(tau + 1):
-        for i in range(1, tau + 2):
-            at, size = segment(f"(_len - {delta})", i, tau + 1)
-            for d in shifts(delta, i, tau):
-                if not (full or delta or d):
-                    continue
-                keys.append(f"struct({i} AS seg, {d} AS shift, _len - {delta} AS of, xxhash64(_len - {delta}, {i}, substring(_line, {at} + {d}, {size})) AS key)")
-    return F.expr(f"array({', '.join(keys)})")
-
-
-def pieces(tau: int, seg: int) -> list[tuple[str, str]]:
-    """Halves of the segments other than ``seg`` of a line of length `of`: (start, size) in SQL."""
-    out = []
-    for i in range(1, tau + 2):
-        if i != seg:
-            at, size = segment("of", i, tau + 1)
-            out += [(at, f"({size} div 2)"), (f"({at} + {size} div 2)", f"({size} - {size} div 2)")]
-    return out
-
-
-def second_keys(tau: int, probe: bool) -> Column:
-    """Keys of a hot first key and further intact pieces. Columns: key, seg, shift, of, _line, _len."""
-    if tau == 2:
-        return _second_keys_of_two(probe)
-    cases = []
-    for seg in range(1, tau + 2):
-        keys = [f"xxhash64(key, {k}, substring(_line, {at} + {d}, {size}))" for k, (at, size) in enumerate(pieces(tau, seg)) for d in (range(-tau, tau + 1) if probe else (0,))]
-        cases.append(f"WHEN seg = {seg} THEN array_distinct(array({', '.join(keys)}))")
-    return F.expr(f"CASE {' '.join(cases)} END")
-
+        less, extra = (1, r - delta + n) if r < delta else (0, r - delta)
+        for i in range(1, n + 1):
+            start, size = -(i - 1) * less + max(0, i - 1 - (n - extra)), -less + (i > n - extra)
+            out += [(i, start + d, size) for d in shifts(delta, i, tau)] if delta else [(i, start, size)]
+    out += [(i, start + d, size) for i, start, size in out[:n] for d in shifts(0, i, tau)]
+    return list(dict.fromkeys(out))
 
-def _second_keys_of_two(probe: bool) -> Column:
-    """For two edits. The multi-match-aware bounds leave at most (0, 2), (1, 1) or (2, 0) of them left and right of
-    segment 1, 2 or 3.
 
-    A part with two edits is quartered: its first quarter is intact and in place, or its last one is intact and moved
-    as its end is, or each has one edit and both middle quarters are intact, moved by at most one. A part with one edit
-    is halved: one half is intact, and on its side nothing has moved.
+def line_keys(tau: int) -> list[str]:
+    """SQL of a line's keys, null where it has fewer; the first tau + 1 are its own segments. Columns: _line, _len."""
+    n = tau + 1
+    of = [substrings(tau, r) for r in range(n)]
+    keys = []
+    for slot in range(max(map(len, of))):
+        cases = []
+        for r, subs in enumerate(of):
+            if slot < len(subs):
+                i, start, size = subs[slot]
+                cases.append(f"WHEN {r} THEN xxhash64({i}, substring(_line, {i - 1} * (_len div {n}) + {start + 1}, (_len div {n}) + {size}))")
+        keys.append(f"CASE _len % {n} {' '.join(cases)} END")
+    return keys
+
+
+def agreement(x: str, e: str) -> str:
+    """SQL of the number of characters at which two strings begin alike, by halving steps."""
+    n = f"length(bin(length({e})))"
+    alike = f"p + w <= least(length({x}), length({e})) AND substring({x}, p + 1, w) = substring({e}, p + 1, w)"
+    return f"aggregate(transform(sequence(1, {n}), k -> shiftleft(1, {n} - k)), 0, (p, w) -> if({alike}, p + w, p))"
+
+
+def repairs(x: str, e: str) -> str:
+    """SQL of the strings that one edit makes of x, at the first character where it differs from e, towards e."""
+    both, cut = f"p < length({x}) AND p < length({e})", f"substring({x}, 1, p)"
+    ways = [
+        f"if({both}, concat({cut}, substring({e}, p + 1, 1), substring({x}, p + 2)), null)",
+        f"if(p < length({x}), concat({cut}, substring({x}, p + 2)), null)",
+        f"if(p < length({e}), concat({cut}, substring({e}, p + 1, 1), substring({x}, p + 1)), null)",
+    ]
+    return f"filter(transform(array({agreement(x, e)}), p -> array({', '.join(ways)}))[0], y -> y IS NOT NULL)"
+
+
+def second_keys(members: DataFrame, tau: int) -> DataFrame:
+    """members (key, h, free, _line, _e) -> (key2, h, free): keys relative to the pivot ``_e``, shared by any two members within tau edits.
+
+    Let two members agree with the pivot for p and p' characters at the start, s and s' at the end. If p < p', the
+    first place where they differ is p, there the second agrees with the pivot, and some shortest way from the first to
+    the second starts with one edit there: one of ``repairs``. So it is at the end for s < s', with reversed strings.
+    If p = p' and s = s', what differs lies between. Hence after at most tau such repairs, dealt in some way to the two,
+    either both are equal, or they have equal p and s and what lies between is within the edits that are left, and is
+    partitioned into segments in turn. What a line shares with the pivot is never a key.
     """
-    moved, grown = ("shift", "(_len - of)") if probe else ("0", "0")
-
-    def two(at: str, size: str, end: str) -> list[str]:
-        q = f"({size} div 4)"
-        keys = [f"xxhash64(key, 1, substring(_line, {at}, {q}))", f"xxhash64(key, 2, substring(_line, {at} + 3 * {q} + {end}, {size} - 3 * {q}))"]
-        return keys + [f"xxhash64(key, 3, substring(_line, {at} + {q} + {d}, 2 * {q}))" for d in ((-1, 0, 1) if probe else (0,))]
-
-    at2, size2 = segment("of", 2, 3)
-    at3, _ = segment("of", 3, 3)
-    left, right = f"({at2} - 1)", f"(of - {at3} + 1)"
-    lefts = [f"substring(_line, 1, {left} div 2)", f"substring(_line, 1 + {left} div 2 + {moved}, {left} - {left} div 2)"]
-    rights = [f"substring(_line, {at3} + {moved}, {right} div 2)", f"substring(_line, {at3} + {right} div 2 + {grown}, {right} - {right} div 2)"]
-    both = [f"xxhash64(key, {2 * i + j}, {a}, {b})" for i, a in enumerate(lefts) for j, b in enumerate(rights)]
-    cases = {1: two(at2, f"(of - {at2} + 1)", grown), 2: both, 3: two("1", f"({at3} - 1)", moved)}
-    return F.expr("CASE " + " ".join(f"WHEN seg = {k} THEN array({', '.join(v)})" for k, v in cases.items()) + " END")
+    def ends(df: DataFrame) -> DataFrame:
+        return df.withColumn("_p", F.expr(agreement("_line", "_e"))).withColumn("_s", F.expr(agreement("reverse(_line)", "reverse(_e)")))
+
+    out, level = None, members.select("key", "h", "free", "_line", "_e")
+    for used in range(tau + 1):
+        keys = ["xxhash64(key, 0, _line)"]
+        df = level
+        if used < tau:
+            df = ends(level).withColumn("_mid", F.expr("substring(_line, _p + 1, greatest(0, length(_line) - _p - _s))"))
+        for left in range(1, tau - used + 1):
+            for delta in range(left + 1):
+                for i in range(1, left + 2):
+                    at, size = segment(f"(length(_mid) - {delta})", i, left + 1)
+                    keys += [f"if(length(_mid) >= {delta}, xxhash64(key, {left}, _p, _s, {i}, substring(_mid, {at} + {d}, {size})), null)" for d in shifts(delta, i, left)]
+        given = df.select("h", "free", F.explode(F.expr(f"array_distinct(array({', '.join(keys)}))")).alias("key2")).where("key2 IS NOT NULL")
+        out = given if out is None else out.unionByName(given)
+        if used < tau:
+            ends_too = f"transform({repairs('reverse(_line)', 'reverse(_e)')}, z -> reverse(z))"
+            level = level.select("key", "h", "free", F.explode(F.expr(f"array_distinct(concat({repairs('_line', '_e')}, {ends_too}))")).alias("_line"), "_e")
+    return out
 
 
 def edit_distance(a: str, b: str, tau: int) -> Column:
@@ -136,114 +156,142 @@ def edit_distance(a: str, b: str, tau: int) -> Column:
     return F.expr(f"transform(array({columns}), p -> if(size({b}) = 0, 0, {walk}))[0]")
 
 
+def alike(pairs: DataFrame, a: str, b: str, tau: int) -> DataFrame:
+    """Those rows whose strings ``a`` and ``b`` are within tau edits."""
+    pairs = pairs.withColumn("_x", F.expr(f"if(length({a}) <= length({b}), {a}, {b})")).withColumn("_y", F.expr(f"if(length({a}) <= length({b}), {b}, {a})"))
+
+    def intact(n: int) -> str:
+        """All but tau of n pieces of the shorter line stand in the longer one, at most tau away."""
+        found = []
+        for i in range(1, n + 1):
+            at, size = segment("length(_x)", i, n)
+            found.append(f"if(instr(substring(_y, greatest(1, {at} - {tau}), {size} + {tau} + least({tau}, {at} - 1)), substring(_x, {at}, {size})) > 0, 1, 0)")
+        return f"{' + '.join(found)} >= {n - tau}"
+
+    pairs = pairs.where(" AND ".join([f"length(_y) - length(_x) <= {tau}", *(intact(n) for n in FINER if n > tau)]))
+    return pairs.where(edit_distance("_x", "_y", tau) <= tau).drop("_x", "_y")
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, th, n, _line, _len, h) of every line that takes part; th tells rows of one identifier apart."""
-    lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "_line"))
-    return lines.withColumn("_len", F.length("_line")).where(F.col("_len") >= min_chars).withColumn("h", F.xxhash64("_line", F.lit(1)))
+    """(doc_id, th, n, place, _line, _len, h, g) of every line that takes part. ``th`` tells rows of one identifier apart;
+    ``place`` orders occurrences by identifier, th and n; h and g name the line."""
+    th = F.xxhash64("text")
+    base = f"cast(coalesce(doc_id, {-(1 << 63)}L) as decimal(19, 0)) * 10000000000000000000BD + cast(pmod(th, 900000000L) * 10000000000L as decimal(19, 0))"
+    lines = docs.withColumn("th", th).withColumn("_base", F.expr(f"cast({base} as decimal(38, 0))"))
+    lines = lines.select("doc_id", "th", "_base", F.posexplode(F.split("text", "\n")).alias("n", "_line")).withColumn("_len", F.length("_line"))
+    lines = lines.where(f"_len >= {min_chars} OR _line RLIKE '[^ \\\\t-\\\\r]'")
+    return lines.withColumns({"place": F.expr("cast(_base + n as decimal(38, 0))"), "h": F.xxhash64("_line"), "g": F.xxhash64(F.lit(1), "_line")}).drop("_base")
 
 
-def bitmap(hashes: DataFrame, path: str) -> DataFrame:
-    """A written set of the hashes ``h`` modulo a fixed number of bits: (_bucket, _bits), 2 MB however many there are.
+def bitmap(hashes: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """A written set of hashes ``h`` (a table) modulo a number of bits that goes by their count: ((_bucket, _bits), buckets).
 
-    ``marked`` may therefore name lines that weren't meant, never miss one.
+    ``marked`` may name rows that weren't meant, never miss one; where the bound makes it name many, a join decides later.
     """
-    slots = hashes.select(F.pmod(F.col("h"), F.lit(BITMAP_BUCKETS * 32768)).alias("_slot"))
+    buckets = 1
+    while buckets < MOST_BUCKETS and buckets * 2048 < hashes.count():
+        buckets = min(MOST_BUCKETS, 4 * buckets)
+    slots = hashes.select(F.pmod(F.col("h"), F.lit(buckets * 32768)).alias("_slot"))
     bits = slots.groupBy(F.expr("cast(_slot div 32768 as int)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_slot % 32768 + 1))").alias("_bits"))
-    return sc.save(bits, path)
+    return sc.save(bits, path), buckets
 
 
-def marked(df: DataFrame, bits: DataFrame, name: str) -> DataFrame:
+def marked(df: DataFrame, of: tuple[DataFrame, int], name: str) -> DataFrame:
     """Adds a boolean: whether the row's ``h`` may be in the bitmap."""
-    slot = F.pmod(F.col("h"), F.lit(BITMAP_BUCKETS * 32768))
+    bits, buckets = of
+    slot = F.pmod(F.col("h"), F.lit(buckets * 32768))
     out = df.withColumn("_slot", slot).withColumn("_bucket", F.expr("cast(_slot div 32768 as int)")).join(F.broadcast(bits), "_bucket", "left")
     byte = "conv(hex(substring(_bits, cast((_slot % 32768) div 8 as int) + 1, 1)), 16, 10)"
     return out.withColumn(name, F.expr(f"coalesce(({byte} & shiftleft(1, cast(_slot % 8 as int))) <> 0, false)")).drop("_slot", "_bucket", "_bits")
 
 
-def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("_line")).withColumn("_len", F.length("_line"))
-    return lines.where(F.col("_len") >= min_chars).withColumn("h", F.xxhash64("_line", F.lit(1)))
-
-
-def near_pairs(docs: DataFrame, firsts: DataFrame, path: str, tau: int, min_chars: int, hot: int) -> DataFrame:
-    """Verified pairs (a, b) of hashes of different lines within tau edits, len(a) <= len(b)."""
-    # Lines that occur once need no merging; only the texts of repeated ones are shuffled to get one of each.
-    seen = marked(line_texts(docs, min_chars), bitmap(firsts.where("times > 1").select("h"), f"{path}/repeated"), "_often")
-    often = seen.where("_often").groupBy("h").agg(F.first("_line").alias("_line")).withColumn("_len", F.length("_line"))
-    lines = seen.where("NOT _often").select("h", "_line", "_len").union(often.select("h", "_line", "_len"))
-
-    def keyed(keys: Column) -> DataFrame:
-        return lines.select("h", F.explode(F.transform(keys, lambda k: k.key)).alias("key"))
-
-    index = sc.save(keyed(index_keys(tau)), f"{path}/index")
-    idx, prb = index.withColumnRenamed("h", "a"), keyed(probe_keys(tau)).withColumnRenamed("h", "b")
-    heavy = sc.save(index.groupBy("key").count().where(F.col("count") > hot).select("key"), f"{path}/hot")
-    cold = idx.join(heavy, "key", "left_anti") if heavy.limit(1).count() else idx
-    # Equal lengths and places meet among the index keys themselves.
-    twin = cold.withColumnRenamed("a", "b")
-    found = cold.join(prb, "key").where("a <> b").select("a", "b").union(cold.join(twin, "key").where("a < b").select("a", "b"))
-    if cold is not idx:
-        def second(keys: Column, more: Column, name: str) -> DataFrame:
-            own = lines.select("h", "_line", "_len", F.explode(keys).alias("k")).select("h", "_line", "_len", "k.*")
-            return own.join(heavy, "key").select(F.col("h").alias(name), F.explode(more).alias("key2"))
-
-        found = found.union(second(index_keys(tau), second_keys(tau, False), "a").join(second(probe_keys(tau, True), second_keys(tau, True), "b"), "key2").where("a <> b").select("a", "b"))
-    candidates = sc.save(found.distinct(), f"{path}/candidates")
-    # Only candidates' texts are fetched.
-    wanted = marked(line_texts(docs, min_chars), bitmap(candidates.select(F.explode(F.array("a", "b")).alias("h")), f"{path}/wanted"), "_wanted").where("_wanted")
-    texts = sc.save(wanted.groupBy("h").agg(F.first("_line").alias("_line")), f"{path}/texts")
-    pairs = candidates.join(texts.select(F.col("h").alias("a"), F.col("_line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("_line").alias("lb")), "b")
-
-    def intact(n: int) -> str:
-        """All but tau of n pieces of the shorter line stand in the longer one, at most tau away."""
-        found = []
-        for i in range(1, n + 1):
-            at, size = segment("length(la)", i, n)
-            found.append(f"if(instr(substring(lb, greatest(1, {at} - {tau}), {size} + {tau} + least({tau}, {at} - 1)), substring(la, {at}, {size})) > 0, 1, 0)")
-        return f"{' + '.join(found)} >= {n - tau}"
-
-    pairs = pairs.where(f"length(lb) - length(la) BETWEEN 0 AND {tau} AND {intact(2 * tau + 2)} AND {intact(FINE)}")
-    return pairs.where(edit_distance("la", "lb", tau) <= tau).select("a", "b")
+def candidates(firsts: DataFrame, path: str, tau: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b), (key, h)): pairs of lines with a common key, and the lines of keys that too many have."""
+    slots = [c for c in firsts.columns if c.startswith("_k")]
+    rows = firsts.select("h", F.posexplode(F.array(*slots)).alias("pos", "key")).where("key IS NOT NULL")
+    met = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("pos").alias("least"))
+    met = sc.save(met.where(f"c > 1 AND lo <> hi AND least <= {tau}"), f"{path}/met")
+    several = met.where("c > 2").select("key", (F.col("c") > hot).alias("hot"))
+    member = sc.save(rows.join(several, "key").select("key", "h", (F.col("pos") <= tau).alias("own"), "hot"), f"{path}/members")
+    few = member.where("NOT hot").select("key", "h", "own")
+    other = few.select("key", F.col("h").alias("b"), F.col("own").alias("too"))
+    joined = few.where("own").withColumnRenamed("h", "a").join(other, "key").where("a < b OR (a <> b AND NOT too)")
+    pairs = joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(met.where("c = 2").select("lo", "hi")).distinct()
+    return sc.save(pairs, f"{path}/candidates"), member.where("hot").select("key", "h").distinct()
+
+
+def later(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """(h, g) of the later line of each pair (a, b) that is within tau edits."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("h").alias(side), F.struct("h", "g").alias(f"_{side}"), F.col("_line").alias(f"_l{side}"), F.col("first").alias(f"_f{side}")), side)
+    near = alike(pairs, "_la", "_lb", tau)
+    return near.select(F.expr("if(_fa > _fb, _a, _b)").alias("x")).select("x.*").distinct()
+
+
+def later_of_hot(member: DataFrame, texts: DataFrame, path: str, tau: int) -> DataFrame:
+    """(h, g) of lines that have an earlier line within tau edits among the lines of a hot key."""
+    member = sc.save(member.join(texts, "h"), f"{path}/hot")
+    pivot = member.groupBy("key").agg(F.min(F.struct("first", "_line")).alias("e")).select("key", F.col("e._line").alias("_e"), F.col("e.first").alias("_at"))
+    member = member.join(pivot, "key")
+    settled = sc.save(alike(member.where("first > _at"), "_line", "_e", tau).select("h", "g").distinct(), f"{path}/settled")
+    free = member.join(settled.withColumn("_settled", F.lit(True)), ["h", "g"], "left").withColumn("free", F.col("_settled").isNull())
+    keyed = sc.save(second_keys(free, tau), f"{path}/second")
+    other = keyed.select("key2", F.col("h").alias("b"), F.col("free").alias("too"))
+    pairs = keyed.where("free").select("key2", F.col("h").alias("a")).join(other, "key2").where("a < b OR (a <> b AND NOT too)")
+    pairs = sc.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}/second-pairs")
+    return settled.union(later(pairs, texts, tau))
 
 
 def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """(doc_id, th, gone): for rows that lose lines, the places of those lines."""
-    spark = docs.sparkSession
-    path = sc.new_dir(spark, "lines")
+    """(doc_id, th, gone): for rows that lose lines, the places of those lines. A written table."""
+    path = sc.new_dir(docs.sparkSession, "lines")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    occ = occurrences(docs, min_chars).select("doc_id", "th", "n", "h")
-    firsts = sc.save(occ.groupBy("h").agg(F.min(F.struct("doc_id", "th", "n")).alias("first"), F.count("*").alias("times")), f"{path}/firsts")
-    near = near_pairs(docs, firsts, path, tau, min_chars, hot)
-    near = near.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
-    late = sc.save(near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("near", F.lit(True)), f"{path}/late")
-    drop = firsts.join(late, "h", "left").where("times > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occ.join(drop, "h").where(F.col("near") | (F.struct("doc_id", "th", "n") != F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("n").alias("gone"))
+    occ = occurrences(docs, min_chars)
+    keys = {f"_k{j}": F.expr(f"if(_len >= {min_chars}, {k}, null)") for j, k in enumerate(line_keys(tau))}
+    firsts = occ.withColumns(keys).groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("times"), *[F.max(k).alias(k) for k in keys])
+    firsts = sc.save(firsts, f"{path}/firsts")
+    pairs, heavy = candidates(firsts, path, tau, hot)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(heavy.select("h")).distinct()
+    texts = marked(occ.where(f"_len >= {min_chars}"), bitmap(sc.save(wanted, f"{path}/wanted"), f"{path}/bits"), "_wanted").where("_wanted")
+    texts = texts.groupBy("h", "g").agg(F.min(F.struct("place", "_line")).alias("x")).select("h", "g", F.col("x.place").alias("first"), F.col("x._line").alias("_line"))
+    texts = sc.save(texts, f"{path}/texts")
+    late = later(pairs, texts, tau)
+    if heavy.limit(1).count():
+        late = late.union(later_of_hot(heavy, texts, path, tau))
+    late = sc.save(late.distinct().withColumn("near", F.lit(True)), f"{path}/late")
+    drop = firsts.select("h", "g", "first", "times").join(late, ["h", "g"], "left").where("times > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = occ.select("doc_id", "th", "n", "place", "h", "g").join(drop, ["h", "g"]).where("near OR place <> first")
+    return sc.save(gone.groupBy("doc_id", "th").agg(F.collect_set("n").alias("gone")), f"{path}/gone")
 
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT, counts: bool = True) -> DataFrame:
     """The same rows and columns without the removed lines, with ``counts`` also `_n_lines` and `_n_removed`."""
-    gone = removed_places(docs, tau, min_chars, hot).select(F.col("doc_id").alias("_gdoc"), F.col("th").alias("_gth"), "gone")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
-    both = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_gdoc")) & (F.col("_th") == F.col("_gth")), "left")
+    gone = removed_places(docs, tau, min_chars, hot)
+    bits = bitmap(gone.select(F.col("th").alias("h")), f"{sc.new_dir(docs.sparkSession, 'lines')}/rows")
+    text = F.col("_row.text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    rows = marked(rows, bits, "_loses").withColumn("_gone", F.lit(None).cast("array<int>"))
+    told = gone.select(F.col("doc_id").alias("_gdoc"), F.col("th").alias("_gth"), F.col("gone").alias("_places"))
+    some = rows.where("_loses").join(told, F.col("_doc").eqNullSafe(F.col("_gdoc")) & (F.col("h") == F.col("_gth")), "left")
+    both = rows.where("NOT _loses").select("_row", "_gone").union(some.select("_row", "_places"))
     # As a lambda's argument the lines are split once a row.
-    cut = "transform(array(split(cast(_row.text AS string), '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\n'))[0]"
-    text = F.when(F.col("gone").isNull(), F.col("_row.text").cast("string")).otherwise(F.expr(cut))
-    cols = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    n_lines = F.size(F.split(F.col("_row.text").cast("string"), "\n"))
+    cut = "transform(array(split(cast(_row.text AS string), '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _gone), i -> l[i]), '\n'))[0]"
+    left = F.when(F.col("_gone").isNull(), text).otherwise(F.expr(cut))
+    cols = [left.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     if not counts:
         return both.select(*cols)
-    return both.select(*cols, F.coalesce(n_lines, F.lit(0)).cast("long").alias("_n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("_n_removed"))
+    n_lines = F.size(F.split(text, "\n"))
+    return both.select(*cols, F.coalesce(n_lines, F.lit(0)).cast("long").alias("_n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_n_removed"))
 
 
 def oracle(tau: int = TAU, min_chars: int = MIN_CHARS) -> str:
     """The query's digest in DuckDB's SQL."""
-    return f"""
+    return rf"""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS n FROM documents WHERE text IS NOT NULL),
-    f AS (SELECT x, min((doc_id, n)) AS first, length(x) AS k FROM l WHERE length(x) >= {min_chars} GROUP BY x),
-    near AS (SELECT DISTINCT a.x FROM f a JOIN f b ON b.k BETWEEN a.k - {tau} AND a.k + {tau} AND b.first < a.first AND a.x <> b.x WHERE levenshtein(a.x, b.x) <= {tau}),
-    k AS (SELECT l.doc_id, l.n, l.x, length(l.x) >= {min_chars} AND ((l.doc_id, l.n) <> f.first OR near.x IS NOT NULL) AS gone
+    f AS (SELECT x, min((doc_id, n)) AS first, length(x) AS k FROM l WHERE length(x) >= {min_chars} OR regexp_matches(x, '[^ 	-]') GROUP BY x),
+    near AS (SELECT DISTINCT a.x FROM f a JOIN f b ON b.k BETWEEN a.k - {tau} AND a.k + {tau} AND b.first < a.first AND a.x <> b.x
+        WHERE a.k >= {min_chars} AND b.k >= {min_chars} AND levenshtein(a.x, b.x) <= {tau}),
+    k AS (SELECT l.doc_id, l.n, l.x, f.x IS NOT NULL AND ((l.doc_id, l.n) <> f.first OR near.x IS NOT NULL) AS gone
         FROM l LEFT JOIN f ON l.x = f.x LEFT JOIN near ON l.x = near.x)
     SELECT d.doc_id, CAST(count(k.n) AS BIGINT) AS n_lines, CAST(count(k.n) FILTER (WHERE gone) AS BIGINT) AS n_removed,
         sha256(coalesce(string_agg(k.x, chr(10) ORDER BY k.n) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256

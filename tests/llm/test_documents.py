@@ -26,6 +26,19 @@ def lev(a, b):
     return p[-1]
 
 
+def near_lev(a, b, most=3):
+    """The edit distance, or a larger number if it is above ``most``: only the diagonals around the middle one are filled."""
+    p = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        q = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            q[j] = min(p.get(j, 99) + 1, q.get(j - 1, 99) + 1, p.get(j - 1, 99) + (j == 0 or x != b[j - 1]))
+        p = q
+        if min(p.values()) > most:
+            return 99
+    return p.get(len(b), 99)
+
+
 def edited(r, s, n):
     s = list(s)
     for _ in range(n):
@@ -52,13 +65,49 @@ def test_edit_distance(spark):
             assert (x.d <= tau) == (x.e <= tau) and (x.d > tau or x.d == x.e)
 
 
-@pytest.mark.parametrize("tau,hot", [(2, 64), (2, 0), (1, 0)])
+def test_line_keys(spark):
+    """Any two strings within tau edits share one of the shorter one's own segments; lengths that AND places don't matter."""
+    r = random.Random(4)
+    for tau in (1, 2, 3):
+        rows = []
+        for _ in range(500):
+            a = "".join(r.choice("abcé") for _ in range(r.randint(4, 30)))
+            a, b = sorted([a, edited(r, a, r.randint(1, tau))], key=len)
+            rows.append((a, b))
+        df = spark.createDataFrame(rows, "a string, b string")
+        for side in "ab":
+            df = df.withColumns({"_line": F.col(side), "_len": F.length(side)}).withColumn(f"k{side}", F.array(*[F.expr(k) for k in lines.line_keys(tau)]))
+        met = df.withColumn("own", F.slice("ka", 1, tau + 1)).where("arrays_overlap(filter(own, x -> x IS NOT NULL), filter(kb, x -> x IS NOT NULL))")
+        assert met.count() == len(rows)
+
+
+@pytest.mark.parametrize("tau", [1, 2])
+def test_second_keys(spark, tau):
+    """Two lines within tau edits share a second key, whatever the pivot; replaced words at two places do not."""
+    r = random.Random(tau)
+    say = lambda n: "".join(r.choice("abcé ") for _ in range(n))
+    rows = []
+    for k in range(700):
+        e = say(r.randint(0, 14))
+        a = r.choice([edited(r, e, r.randint(0, 5)), say(r.randint(0, 14)), e[: len(e) // 2] + say(4) + e[len(e) // 2 :]])
+        rows += [(k, 2 * k, True, a, e), (k, 2 * k + 1, True, edited(r, a, r.randint(0, tau)), e)]
+    keyed = lines.second_keys(spark.createDataFrame(rows, "key long, h long, free boolean, _line string, _e string"), tau)
+    own = keyed.selectExpr("h div 2 AS k", "h % 2 AS side", "key2").distinct().groupBy("k", "key2").count().where("count = 2")
+    assert own.select("k").distinct().count() == 700
+    words = [say(5).replace(" ", "x") for _ in range(60)]
+    far = [(0, k, True, " ".join([*words[:k], "#####%02d" % k, *words[k + 1 :]]), " ".join(words)) for k in range(60)]
+    keyed = lines.second_keys(spark.createDataFrame(far, "key long, h long, free boolean, _line string, _e string"), tau)
+    assert keyed.distinct().groupBy("key2").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("tau,hot", [(2, 32), (2, 1), (1, 1)])
 def test_line_dedup(spark, tau, hot):
     r = random.Random(tau + hot)
-    base = ["".join(r.choice("abcdefgé ") for _ in range(r.randint(6, 30))) for _ in range(12)] + ["row number %05d of the list" % k for k in range(15)]
+    base = ["".join(r.choice("abcdefgé ") for _ in range(r.randint(6, 30))) for _ in range(12)] + ["row number %05d of the list" % k for k in range(15)] + ["short", "  ", "            "]
+    base += [edited(r, "word " * 3000, 1)]
     rows = []
-    for i in range(30):
-        ls = [edited(r, r.choice(base), r.choice([0, 0, 1, 2, 3])) for _ in range(r.randint(1, 6))]
+    for i in range(40):
+        ls = [edited(r, x, r.choice([0, 0, 1, 2, 3]) if len(x) > 8 else 0) for x in r.choices(base, k=r.randint(1, 6))]
         rows.append((i, "\n".join(ls), "keep"))
     rows += [(100, None, "n"), (101, "", "e"), (102, "\n\n", "b"), (103, rows[0][1], "copy"), (None, "a line of nobody at all", "x"), (3, "an other row of document three", "y"), (103, rows[0][1], "copy")]
     df = spark.createDataFrame(rows, "doc_id long, text string, gone string")
@@ -67,12 +116,12 @@ def test_line_dedup(spark, tau, hot):
     for i, t, _ in rows:
         th = None
         for n, x in enumerate(t.split("\n") if t is not None else []):
-            if len(x) >= 8:
+            if len(x) >= 8 or WORD.search(x):
                 th = th or df.sparkSession.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0]
                 k = (i is not None, i or 0, th, n)
                 occ.append((i, t, n, x, k))
                 first[x] = min(first.get(x, k), k)
-    near = {x for x in first for y in first if y != x and abs(len(x) - len(y)) <= tau and first[y] < first[x] and lev(x, y) <= tau}
+    near = {x for x in first for y in first if y != x and min(len(x), len(y)) >= 8 and abs(len(x) - len(y)) <= tau and first[y] < first[x] and near_lev(x, y) <= tau}
     gone = defaultdict(set)
     for i, t, n, x, k in occ:
         if k != first[x] or x in near:
