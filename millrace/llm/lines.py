@@ -67,8 +67,8 @@ def substrings(tau: int, r: int) -> list[tuple[int, int, int]]:
     return list(dict.fromkeys(out))
 
 
-def line_keys(tau: int) -> list[str]:
-    """SQL of a line's keys, null where it has fewer; the first tau + 1 are its own segments. Columns: _line, _len."""
+def line_keys(tau: int, line: str = "_line", length: str = "_len", seed: str = "") -> list[str]:
+    """SQL of a line's keys, null where it has fewer; the first tau + 1 are its own segments."""
     n = tau + 1
     of = [substrings(tau, r) for r in range(n)]
     keys = []
@@ -77,8 +77,8 @@ def line_keys(tau: int) -> list[str]:
         for r, subs in enumerate(of):
             if slot < len(subs):
                 i, start, size = subs[slot]
-                cases.append(f"WHEN {r} THEN xxhash64({i}, substring(_line, {i - 1} * (_len div {n}) + {start + 1}, (_len div {n}) + {size}))")
-        keys.append(f"CASE _len % {n} {' '.join(cases)} END")
+                cases.append(f"WHEN {r} THEN xxhash64({seed}{i}, substring({line}, {i - 1} * ({length} div {n}) + {start + 1}, ({length} div {n}) + {size}))")
+        keys.append(f"CASE {length} % {n} {' '.join(cases)} END")
     return keys
 
 
@@ -120,10 +120,7 @@ def second_keys(members: DataFrame, tau: int) -> DataFrame:
         if used < tau:
             df = ends(level).withColumn("_mid", F.expr("substring(_line, _p + 1, greatest(0, length(_line) - _p - _s))"))
         for left in range(1, tau - used + 1):
-            for delta in range(left + 1):
-                for i in range(1, left + 2):
-                    at, size = segment(f"(length(_mid) - {delta})", i, left + 1)
-                    keys += [f"if(length(_mid) >= {delta}, xxhash64(key, {left}, _p, _s, {i}, substring(_mid, {at} + {d}, {size})), null)" for d in shifts(delta, i, left)]
+            keys += line_keys(left, "_mid", "length(_mid)", f"key, {left}, _p, _s, ")
         given = df.select("h", "free", F.explode(F.expr(f"array_distinct(array({', '.join(keys)}))")).alias("key2")).where("key2 IS NOT NULL")
         out = given if out is None else out.unionByName(given)
         if used < tau:
@@ -229,13 +226,17 @@ def later(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 
 
 def later_of_hot(member: DataFrame, texts: DataFrame, path: str, tau: int) -> DataFrame:
-    """(h, g) of lines that have an earlier line within tau edits among the lines of a hot key."""
-    member = sc.save(member.join(texts, "h"), f"{path}/hot")
-    pivot = member.groupBy("key").agg(F.min(F.struct("first", "_line")).alias("e")).select("key", F.col("e._line").alias("_e"), F.col("e.first").alias("_at"))
-    member = member.join(pivot, "key")
+    """(h, g) of lines that have an earlier line within tau edits among the lines of a hot key.
+
+    Keys of one pivot (mostly the segments of one text) count as one, so a line is taken once a pivot.
+    """
+    pivot = member.join(texts.select("h", "first"), "h").groupBy("key").agg(F.min(F.struct("first", "h")).alias("e")).select("key", F.col("e.h").alias("eh"), F.col("e.first").alias("_at"))
+    once = sc.save(member.join(pivot, "key").select(F.col("eh").alias("key"), "_at", "h").distinct(), f"{path}/hot")
+    e = texts.select(F.col("h").alias("key"), F.col("first").alias("_at"), F.col("_line").alias("_e"))
+    member = once.join(texts, "h").join(e, ["key", "_at"]).repartition(sc.parts(once.sparkSession))
     settled = sc.save(alike(member.where("first > _at"), "_line", "_e", tau).select("h", "g").distinct(), f"{path}/settled")
     free = member.join(settled.withColumn("_settled", F.lit(True)), ["h", "g"], "left").withColumn("free", F.col("_settled").isNull())
-    keyed = sc.save(second_keys(free, tau), f"{path}/second")
+    keyed = sc.save(second_keys(free.repartition(sc.parts(once.sparkSession)), tau), f"{path}/second")
     other = keyed.select("key2", F.col("h").alias("b"), F.col("free").alias("too"))
     pairs = keyed.where("free").select("key2", F.col("h").alias("a")).join(other, "key2").where("a < b OR (a <> b AND NOT too)")
     pairs = sc.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}/second-pairs")
@@ -288,7 +289,8 @@ def oracle(tau: int = TAU, min_chars: int = MIN_CHARS) -> str:
     """The query's digest in DuckDB's SQL."""
     return rf"""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS n FROM documents WHERE text IS NOT NULL),
-    f AS (SELECT x, min((doc_id, n)) AS first, length(x) AS k FROM l WHERE length(x) >= {min_chars} OR regexp_matches(x, '[^ 	-]') GROUP BY x),
+    f AS (SELECT x, min((doc_id, n)) AS first, length(x) AS k FROM l WHERE length(x) >= {min_chars} OR regexp_matches(x, '[^ 	-
+]') GROUP BY x),
     near AS (SELECT DISTINCT a.x FROM f a JOIN f b ON b.k BETWEEN a.k - {tau} AND a.k + {tau} AND b.first < a.first AND a.x <> b.x
         WHERE a.k >= {min_chars} AND b.k >= {min_chars} AND levenshtein(a.x, b.x) <= {tau}),
     k AS (SELECT l.doc_id, l.n, l.x, f.x IS NOT NULL AND ((l.doc_id, l.n) <> f.first OR near.x IS NOT NULL) AS gone
