@@ -3,15 +3,19 @@
 Documents are tokenized once; only one longer than the capacity is cut, the first piece taking the remainder. What
 packing needs is the histogram of piece lengths, at most ``capacity`` numbers however large the corpus is:
 
-1. the configuration LP (a variable per way to fill a sequence) is solved approximately by multiplicative weights:
-   lengths not yet covered gain weight, and an unbounded-knapsack dynamic program prices the best configuration;
-2. each configuration's share is rounded down; what is left over (a bounded number of pieces for each configuration)
-   is packed by best fit decreasing on the histogram; the result is kept only if plain best fit decreasing over the
-   whole histogram isn't smaller;
+1. the configuration LP (a variable per way to fill a sequence) is solved approximately by multiplicative weights. In
+   phases, every length is to be covered to an even share of its pieces. A knapsack dynamic program over the lengths'
+   prices gives the best filling of every remaining room at once; each length that lags behind takes the configuration
+   that this makes for it, if its value is near the best one's, as often as no length in it gets ahead; then each price is multiplied by how far its length
+   lags. Prices divided by the best configuration's value are a dual solution, so each round gives a lower bound;
+2. the shares are rounded to whole numbers, fractions being carried along; the pieces that no configuration takes are
+   packed by best fit decreasing on the histogram. If that misses the bound, smaller parts of the shares (none, last)
+   are rounded too, and the packing with the fewest sequences is taken, of equal ones that with most from the LP;
 3. the k-th piece of a length goes to the k-th place for that length, found by rank, not by search.
 
-Ranks are counted in buckets of (length, hash of the piece), so that a length shared by a third of all pieces isn't
-one task's work; bucket sizes are summed apart. The plan table's size depends on the capacity, not on the corpus.
+Ranks are counted in buckets of (length, hash of the piece), as many for a length as its pieces need, so that a length
+shared by a third of all pieces isn't one task's work; bucket sizes are summed apart. The plan table's size depends on
+the capacity, not on the corpus.
 
 Defined results: a null text is empty, so its piece is the end id alone; repeated rows and null identifiers are packed
 like others; an empty table gives no pieces; other columns are ignored.
@@ -19,6 +23,7 @@ like others; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -29,6 +34,13 @@ from pyspark.sql import functions as F
 from millrace.llm import _scratch as sc
 from millrace.llm._bpe import coder
 
+#: Phases and rounds of each, the step of a price, and how far below the best a configuration's value may be.
+PHASES, ROUNDS, ETA, SLACK = 20, 2, 0.02, 0.005
+#: Parts of the LP's shares that are rounded, the first that reaches the bound being taken; 0 leaves all to best fit.
+PARTS = (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
+#: Pieces of a bucket in which ranks are counted, about.
+BUCKET = 100_000
+
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and the end id, cut only beyond the capacity."""
@@ -56,31 +68,59 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 # ---- the plan, from the histogram alone
 
 
-def price(sizes: np.ndarray, value: np.ndarray, room: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable configuration: an unbounded-knapsack dynamic program over filled capacity.
-
-    ``room`` bounds how often a length is used; more uses than pieces exist are cut afterwards.
-    """
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """The unbounded-knapsack dynamic program: (best value for each room, which length to take there or -1)."""
+    best, pick = np.zeros(capacity + 1), [-1] * (capacity + 1)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for c in range(int(sizes[0]), capacity + 1):
-        k = int(np.searchsorted(sizes, c, side="right"))
-        gain = best[c - sizes[:k]] + value[:k]
-        j = int(np.argmax(gain))
+        gain = best[c - sizes[: fitting[c]]] + value[: fitting[c]]
+        j = int(gain.argmax())
+        best[c] = best[c - 1]
         if gain[j] > best[c - 1]:
             best[c], pick[c] = gain[j], j
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        j = int(pick[c])
-        if out.get(j, 0) < room[j]:
-            out[j] = out.get(j, 0) + 1
-        c -= int(sizes[j])
-    return out
+    return best, pick
+
+
+Shares = dict[tuple[tuple[int, int], ...], float]
+
+
+def solve(histogram: dict[int, int], capacity: int, phases: int = PHASES, rounds: int = ROUNDS, eta: float = ETA) -> tuple[Shares, float]:
+    """(configuration ((length, count), ...) -> how often, a lower bound of the LP): no length is covered beyond its demand."""
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    demand = np.array([histogram[int(s)] for s in sizes], dtype=np.float64)
+    size, most = sizes.tolist(), demand.tolist()
+    weight, done = sizes / capacity, np.zeros(len(sizes))
+    share: Shares = {}
+    bound = 0.0
+    for phase in range(1, phases + 1):
+        for _ in range(rounds):
+            best, pick = price(sizes, weight, capacity)
+            bound = max(bound, float(demand @ weight) / best[capacity])
+            least, worth = (1 - SLACK) * best[capacity], weight.tolist()
+            room = (demand * phase / phases - done).tolist()
+            for j in reversed(range(len(size))):
+                if room[j] <= 1e-9 * most[j]:
+                    continue
+                config, c = {j: 1}, capacity - size[j]
+                while c > 0:
+                    k = pick[c]
+                    c -= size[k] if k >= 0 else 1
+                    if k >= 0:
+                        config[k] = config.get(k, 0) + 1
+                times = min(room[k] / n for k, n in config.items())
+                if sum(worth[k] * n for k, n in config.items()) < least:
+                    continue
+                if times <= 1e-9 or any(n > most[k] for k, n in config.items()):
+                    continue
+                for k, n in config.items():
+                    room[k] -= n * times
+                key = tuple(sorted((size[k], n) for k, n in config.items()))
+                share[key] = share.get(key, 0.0) + times
+            done = demand * phase / phases - np.array(room)
+            weight = weight * np.exp(eta * (phase / phases - done / demand))
+            if max(room) <= 1e-9 * max(most):
+                break
+    return share, bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -108,46 +148,34 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400, eps: float = 0.12) -> list[tuple[dict[int, int], int]]:
+def rounded(histogram: dict[int, int], share: Shares, part: float, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The given part of each share as a whole number, fractions carried along; best fit takes the rest."""
+    rest, out, carry = dict(histogram), [], 0.0
+    for key, x in sorted(share.items(), key=lambda t: (-t[1], t[0])):
+        n = int(carry + part * x)
+        carry += part * x - n
+        n = min([n, *(rest[s] // k for s, k in key)])
+        if n > 0:
+            out.append((dict(key), n))
+            for s, k in key:
+                rest[s] -= k * n
+    return out + best_fit(rest, capacity)
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """[(configuration {length: count}, sequences of it)], covering each length exactly as often as it occurs."""
     histogram = {int(k): int(v) for k, v in histogram.items() if v}
     if not histogram:
         return []
-    total = sum(k * v for k, v in histogram.items())
-    bound = -(-total // capacity)
-    plain = best_fit(histogram, capacity)
-    if sum(n for _, n in plain) <= bound:
-        return plain
-    sizes = np.array(sorted(histogram), dtype=np.int64)
-    demand = np.array([histogram[int(s)] for s in sizes], dtype=np.float64)
-    # Covering LP: min sum x, sum_c count_c(l) x_c >= demand(l). Weights start at the size, the dual of a full fit.
-    weight = sizes / capacity
-    share: dict[tuple, float] = {}
-    left = demand.copy()
-    step = max(1.0, bound * eps)
-    for _ in range(rounds):
-        if not (left > 0.5).any():
-            break
-        config = price(sizes, np.where(left > 0.5, weight, 0), np.maximum(left, 0), capacity)
-        if not config:
+    share, bound = solve(histogram, capacity)
+    best: list[tuple[dict[int, int], int]] = []
+    for part in PARTS:
+        out = rounded(histogram, share, part, capacity)
+        if not best or sum(n for _, n in out) < sum(n for _, n in best):
+            best = out
+        if sum(n for _, n in best) <= math.ceil(bound - 1e-6):
             break
-        amount = min([step, *(left[j] / n for j, n in config.items())])
-        key = tuple(sorted((int(sizes[j]), n) for j, n in config.items()))
-        share[key] = share.get(key, 0) + amount
-        for j, n in config.items():
-            left[j] -= n * amount
-        # multiplicative update: what is relatively least covered gains
-        behind = np.maximum(left, 0) / demand
-        weight = (sizes / capacity) * np.exp(eps * (behind - behind.mean()))
-    rest, out = dict(histogram), []
-    for key, x in sorted(share.items(), key=lambda t: -t[1]):
-        n = min([int(x), *(rest[s] // k for s, k in key)])
-        if n > 0:
-            out.append((dict(key), n))
-            for s, k in key:
-                rest[s] -= k * n
-    out += best_fit(rest, capacity)
-    return out if sum(n for _, n in out) <= sum(n for _, n in plain) else plain
+    return best
 
 
 def plan_rows(configs: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -165,17 +193,18 @@ def plan_rows(configs: list[tuple[dict[int, int], int]]) -> list[tuple[int, int,
     return out
 
 
-def assign(parts: DataFrame, capacity: int, buckets: int = 64) -> DataFrame:
+def assign(parts: DataFrame, capacity: int, bucket: int = BUCKET) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces (doc_id, piece, length and any more)."""
     spark = parts.sparkSession
     sizes = parts.groupBy("length").count().collect()  # at most `capacity` rows
     rows = plan_rows(configurations({r["length"]: r["count"] for r in sizes}, capacity))
+    buckets = spark.createDataFrame([(r["length"], -(-r["count"] // bucket)) for r in sizes], "length long, _buckets long")
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(r[0], []).append(r)
     plan = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in by_size.items()})
-    salt = F.pmod(F.xxhash64("doc_id", "piece", *[c for c in ("start",) if c in parts.columns]), F.lit(buckets)).cast("int")
-    salted = parts.withColumn("_salt", salt)
+    salt = F.pmod(F.xxhash64("doc_id", "piece", *[c for c in ("start",) if c in parts.columns]), F.col("_buckets"))
+    salted = parts.join(F.broadcast(buckets), "length").withColumn("_salt", salt).drop("_buckets")
     base = (
         salted.groupBy("length", "_salt").count()
         .withColumn("_base", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
