@@ -74,12 +74,18 @@ def spread(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(max(1, min(n, 4 * sc.parts(manifest.sparkSession)))) if n else manifest
 
 
-def by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes; buckets are ranges of the hash space."""
-    step = (1 << 64) // buckets + 1
-    edges = np.searchsorted(h, np.array([min(k * step, (1 << 64) - 1) for k in range(buckets + 1)], dtype=np.uint64))
-    edges[-1] = len(h)
-    return [(k, int(edges[k]), int(edges[k + 1])) for k in range(buckets) if edges[k] < edges[k + 1]]
+def bits_for(hashes: float) -> int:
+    """Buckets are named by so many first bits of a hash; each holds about BUCKET of the given number of hashes."""
+    return max(0, int(np.ceil(np.log2(max(1.0, hashes / BUCKET)))))
+
+
+def by_bucket(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes, for the buckets that occur: work goes by the hashes, not by all buckets."""
+    if not len(h):
+        return []
+    of = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(h)]])
+    return list(zip(of[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
 def exchange(rows: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], flags: bool = False) -> DataFrame:
@@ -101,11 +107,11 @@ def exchange(rows: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarra
     return replies.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("bits"))
 
 
-def flags_of(h: np.ndarray, buckets: int, bits: dict[int, bytes] | list | None) -> np.ndarray:
+def flags_of(h: np.ndarray, bits: int, told: dict[int, bytes] | list | None) -> np.ndarray:
     """The flags that came back for a block's sorted hashes."""
     out = np.zeros(len(h), bool)
-    got = dict(bits) if bits else {}
-    for k, a, b in by_bucket(h, buckets):
+    got = dict(told) if told else {}
+    for k, a, b in by_bucket(h, bits):
         if k in got:
             out[a:b] = np.unpackbits(np.frombuffer(got[k], np.uint8))[: b - a].astype(bool)
     return out

@@ -1,7 +1,8 @@
 """Shared scratch space, and small helpers that every operator of this subpackage uses.
 
 Intermediate tables and files go below ``spark.checkpoint.dir``, the one folder that the driver and all executors
-see. Only where that setting is missing (tests, a laptop) a temporary folder of this machine is taken.
+see. Only where that setting is missing and Spark runs in one process (tests, a laptop) a temporary folder of this
+machine is taken.
 """
 
 from __future__ import annotations
@@ -20,17 +21,22 @@ ARROW_ROWS = 256
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches of whole documents small enough for a worker."""
+    """Keep Arrow batches of whole documents small enough for a worker.
+
+    Spark reads this setting when a plan runs, which is after the operator has returned, so it can't be put back here.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; without it a folder of this machine, and an error where executors run elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/") if "://" in base else "file://" + os.path.abspath(base)
 
 

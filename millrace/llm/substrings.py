@@ -120,8 +120,7 @@ def mark(docs: DataFrame, width: int, finish, ddl: str, text: str = "text", key:
     path = sc.new_dir(spark, "substrings")
     manifest = bl.write_blocks(docs, path, text)
     n_bytes = manifest.agg(F.sum("n_bytes")).first()[0] or 0
-    n_anchors = n_bytes / 5 * len(COVERS[period]) / period
-    buckets = max(1, int(n_anchors / bl.BUCKET))
+    buckets = bl.bits_for(n_bytes / 5 * len(COVERS[period]) / period)
 
     def send_anchors(batches):
         for b in batches:

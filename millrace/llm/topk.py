@@ -6,7 +6,8 @@ Terms are ordered by bound; those at the end whose bounds together stay below th
 non-essential: a vector that gains nothing from the essential ones can't enter the result. Essential lists are
 traversed first; the others are probed in steps, only for vectors whose score so far plus the bounds to come is still
 competitive. Query blocks meet groups of shards in one task, which carries its heap from shard to shard, so the
-threshold rises early; the groups' results are merged by query.
+threshold rises early; the groups' results are merged by query. Which block meets which group is a table of numbers that
+is joined with the groups, so the driver holds neither.
 
 All arithmetic is exact: float32 while the largest possible sum is below 2**24, float64 below 2**53, else int64.
 
@@ -132,12 +133,14 @@ def search(vectors: DataFrame, k: int, every: int, scale: float) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose vec_id is divisible by ``every``, the k best other rows."""
     spark = vectors.sparkSession
     path = sc.new_dir(spark, "topk")
-    shards = write_shards(vectors, path, scale, every).orderBy("shard").collect()  # a row for SHARD vectors
-    blocks = [r["path"] for r in shards if r["n_queries"]]
-    groups = [[(r["shard"], r["path"]) for r in shards[i : i + SHARDS_A_TASK]] for i in range(0, len(shards), SHARDS_A_TASK)]
-    number = {r["path"]: r["shard"] for r in shards}
-    pairs = [(number[b], b, [s for s, _ in g], [p for _, p in g]) for b in blocks for g in groups]
-    todo = spark.createDataFrame(pairs, "block long, queries string, shards array<long>, paths array<string>").repartition(max(1, min(len(pairs), 8 * sc.parts(spark))))
+    manifest = write_shards(vectors, path, scale, every)
+    # Every block with queries meets every group of shards: rows by number, joined group by group, never on the driver.
+    n_groups = max(1, -(-manifest.count() // SHARDS_A_TASK))
+    member = manifest.select(F.struct("shard", "path").alias("s"), F.pmod(F.xxhash64("shard"), F.lit(n_groups)).alias("g"))
+    groups = member.groupBy("g").agg(F.sort_array(F.collect_list("s")).alias("members"))
+    blocks = manifest.where("n_queries > 0").select(F.col("shard").alias("block"), F.col("path").alias("queries"), F.explode(F.expr(f"sequence(0L, {n_groups - 1}L)")).alias("g"))
+    todo = blocks.join(groups, "g").select("block", "queries", F.col("members.shard").alias("shards"), F.col("members.path").alias("paths"))
+    todo = todo.repartition(sc.parts(spark) * max(1, min(8, n_groups)))
     schema = pa.schema([("row", pa.string()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):

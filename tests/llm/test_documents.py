@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import _blocks as bl
 from millrace.llm import _scratch as sc
 from millrace.llm import components, lines, neardup, quality, substrings, topk, warc
 
@@ -295,6 +296,18 @@ def test_substrings(spark, docs, empty, width):
     assert substrings.spans(df, width).count() > 0
 
 
+def test_buckets_cost_what_they_hold():
+    """The work for a block goes by its hashes, however many buckets the corpus has."""
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    for bits in (0, 1, 7, 40):
+        parts = bl.by_bucket(h, bits)
+        assert [a for _, a, _ in parts] == [0, *(b for _, _, b in parts[:-1])] and parts[-1][2] == len(h) and len(parts) <= min(1 << bits, len(h))
+        assert all((int(h[a]) >> 64 - bits if bits else 0) == k == (int(h[b - 1]) >> 64 - bits if bits else 0) for k, a, b in parts)
+        told = {k: np.packbits(np.arange(a, b) % 3 == 0).tobytes() for k, a, b in parts}
+        assert (bl.flags_of(h, bits, told) == (np.arange(len(h)) % 3 == 0)).all()
+    assert bl.by_bucket(h[:0], 5) == [] and bl.bits_for(1) == 0 and bl.bits_for(bl.BUCKET * 5) == 3
+
+
 def test_covers():
     for period, residues in substrings.COVERS.items():
         assert {(a - b) % period for a in residues for b in residues} == set(range(period))
@@ -399,6 +412,14 @@ def test_quality(spark, docs, empty):
     assert quality.judge(empty).count() == 0
     kept = quality.filter_documents(docs)
     assert kept.columns == docs.columns and kept.count() == quality.judge(docs).where("kept").count()
+    rules = {**quality.BASE_RULES, **quality.RULES}
+    orders = [list(rules), list(rules)[::-1], quality.cascade_order(docs, rules)]
+    for order in orders:  # the order never changes a verdict; values have the columns' names
+        same = docs.withColumn("_w", F.lit(1)).where(F.expr(quality.cascade(rules, order)).isNull())
+        assert same.count() == kept.count()
+    assert all(quality.cascade_order(docs.repartition(k), rules, sample_docs=20) == quality.cascade_order(docs, rules, sample_docs=20) for k in (1, 3, 5))
+    late = quality.cascade(rules, ["few_words", "symbols", "repeats", "dup_lines"])
+    assert late.index("n_words < 10") < late.index(quality.VALUES["n_repeat_words"]) < late.index("n_dup_lines >= 3") and late.count(quality.VALUES["_w"]) == 1
     orders = [["symbols", "capitals"], ["capitals", "symbols"]]
     m = quality.measure(docs)
     assert len({m.select(quality.verdict(quality.RULES, o).isNull().alias("v")).agg(F.count_if("v")).first()[0] for o in orders}) == 1
