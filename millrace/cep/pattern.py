@@ -2,8 +2,9 @@
 
 A pattern is a list of steps, each a predicate on an event. Contiguity is strict (the next event of the key must
 match) or relaxed (the next matching event counts). Matches are looked up backwards: for the last step first, every
-row learns the rest of the match that would follow it, by ``lead`` (strict) or the first non-null value ahead
-(relaxed). All lookups share one partitioning and order, so a pattern of any length costs one shuffle and one sort.
+row learns the rest of the match that would follow it, the next row's (strict) or the first one ahead (relaxed), in
+reversed order, where both are what was seen last. All lookups share one partitioning and order, so a pattern of any
+length costs one shuffle and two sorts, and time in proportion to the rows, also for a single key.
 A negated step bounds the lookup: nothing that matches it may stand before the step after it. There is one match at
 most for each start event; quantifiers complete at their minimum; optional steps are taken if they match.
 """
@@ -11,6 +12,7 @@ most for each start event; quantifiers complete at their minimum; optional steps
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,12 +58,20 @@ class Pattern:
 
     at_least = times
 
-    def between(self, low: int, _high: int) -> Pattern:
-        return self._last(least=max(low, 1))
+    def between(self, low: int, high: int) -> Pattern:
+        """Like all open counts, complete at the least number; a range without a number from 1 up never matches."""
+        never = self.steps[-1].where & F.lit(False)
+        return self._last(least=max(low, 1)) if high >= max(low, 1) else self._last(where=never)
 
-    def at_most(self, _n: int) -> Pattern:
+    def at_most(self, n: int) -> Pattern:
+        return self.between(1, n)
+
+    def one_or_more(self) -> Pattern:
         return self._last(least=1)
 
+    def zero_or_more(self) -> Pattern:
+        return self.optional()
+
     def optional(self) -> Pattern:
         return self._last(optional=True)
 
@@ -100,8 +110,10 @@ def match(df: DataFrame, pattern: Pattern, key: str | None, ts: str, order: list
     ``key=None`` matches over all events as one sequence, which is one task's work: for small inputs only.
     """
     base = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(*order)
-    ahead = base.rowsBetween(1, Window.unboundedFollowing)
     out = df.withColumn("_n", F.row_number().over(base))
+    # What comes next is looked up in reversed order: a frame that grows row by row, where one that shrinks is read anew for every row.
+    base = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(F.col("_n").desc())
+    ahead = base.rowsBetween(Window.unboundedPreceding, -1)
     found: list[Column] = []
     for v, steps in enumerate(pattern.variants()):
         out, chain = _compile(out, pattern, steps, base, ahead, ts, columns, f"_v{v}")
@@ -125,7 +137,7 @@ def _compile(df: DataFrame, p: Pattern, steps: list[Step], base, ahead, ts: str,
         if rest is None and k < len(steps) - 1:  # negated steps at the tail: none of them in the pattern's time
             if not p.total:
                 raise ValueError("a pattern that ends with a negated step needs within()")
-            hits = [F.first(F.when(t.where, F.col(ts)), ignorenulls=True).over(ahead) for t in steps[k + 1 :]]
+            hits = [F.last(F.when(t.where, F.col(ts)), ignorenulls=True).over(ahead) for t in steps[k + 1 :]]
             names = [f"{tag}_tail{j}" for j in range(len(hits))]
             df = df.withColumns(dict(zip(names, hits, strict=True)))
             for nm in names:
@@ -142,11 +154,11 @@ def _compile(df: DataFrame, p: Pattern, steps: list[Step], base, ahead, ts: str,
             j -= 1
         loose = p.relaxed or bool(nots)
         nxt = f"{tag}_c{k}"
-        df = df.withColumn(nxt, F.first(here, ignorenulls=True).over(ahead) if loose else F.lead(here, 1).over(base))
+        df = df.withColumn(nxt, F.last(here, ignorenulls=True).over(ahead) if loose else F.lag(here, 1).over(base))
         rest = F.col(nxt)
         if nots:
             names = [f"{tag}_b{k}_{i}" for i in range(len(nots))]
-            df = df.withColumns({nm: F.first(F.when(t.where, F.col("_n")), ignorenulls=True).over(ahead) for nm, t in zip(names, nots, strict=True)})
+            df = df.withColumns({nm: F.last(F.when(t.where, F.col("_n")), ignorenulls=True).over(ahead) for nm, t in zip(names, nots, strict=True)})
             for nm in names:
                 rest = F.when(F.col(nm).isNull() | (F.col(nm) > rest[0].n), rest)
         if s.within:
@@ -202,15 +214,24 @@ def predicate(field_: str, spec) -> Column:
 class PatternRegistry:
     def __init__(self):
         self.patterns: dict[str, Pattern] = {}
-        self.counts: dict[str, int] = {}
+        self.calls: dict[str, Callable[[DataFrame], None]] = {}
 
-    def register(self, p: Pattern) -> None:
+    def register(self, p: Pattern, call: Callable[[DataFrame], None] | None = None) -> None:
+        """``call`` gets the table of the pattern's matches whenever ``deliver`` is given events."""
         if p.name in self.patterns:
             raise ValueError(f"pattern {p.name} is registered already")
         self.patterns[p.name] = p
+        if call:
+            self.calls[p.name] = call
 
     def unregister(self, name: str) -> None:
         del self.patterns[name]
+        self.calls.pop(name, None)
+
+    def deliver(self, df: DataFrame, key: str, ts: str, order: list[str], columns: list[str]) -> None:
+        """Hands each pattern's matches to its call; of use in foreachBatch."""
+        for name, call in self.calls.items():
+            call(match(df, self.patterns[name], key, ts, order, columns))
 
     def run(self, df: DataFrame, key: str, ts: str, order: list[str], columns: list[str]) -> DataFrame:
         """All patterns over one table."""

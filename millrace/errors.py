@@ -37,8 +37,8 @@ class CircuitOpen(Exception):
 
 
 def classify(e: BaseException) -> Category:
-    """By type first, then by the message; what isn't known may be tried again."""
-    if isinstance(e, (FatalError, PermissionError, FileNotFoundError, ValueError, TypeError, KeyError)):
+    """By type first, then by the message; what isn't known may be tried again. An open circuit isn't tried: it has to rest."""
+    if isinstance(e, (CircuitOpen, FatalError, PermissionError, FileNotFoundError, ValueError, TypeError, KeyError)):
         return Category.FATAL
     if isinstance(e, TimeoutError):
         return Category.TRANSIENT
@@ -130,7 +130,7 @@ class CircuitBreaker:
 
 
 class DeadLetters:
-    """Where failed batches and rows go: a folder of JSON (any store Spark writes), memory, or nowhere."""
+    """Where failed batches and rows go: a folder of JSON (any store Spark writes), memory (whole batches, so for small ones), or nowhere."""
 
     def __init__(self, path: str | None = None, keep: bool = False):
         self.path, self.keep, self.rows = path, keep, []
@@ -143,7 +143,7 @@ class DeadLetters:
         if self.path:
             out.write.mode("append").json(self.path)
         elif self.keep:
-            self.rows += [r.asDict() for r in out.limit(10_000).collect()]
+            self.rows += [r.asDict() for r in out.collect()]
 
 
 @dataclass

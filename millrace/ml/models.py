@@ -64,7 +64,7 @@ class OnnxModel:
 
 
 class ModelRegistry:
-    """name -> version -> model. The latest version is the greatest as text."""
+    """name -> version -> model. The latest version is the greatest as text, as fixed by the behaviour to match: "v9" comes after "v10"."""
 
     def __init__(self):
         self.models: dict[str, dict[str, object]] = {}

@@ -49,6 +49,16 @@ def cep_at_least(spark, d):
     return _ids(_match(spark, d, Pattern("p").begin("c", F.col("type") == "click").at_least(2)), 2)
 
 
+@query(f"SELECT user_id, event_id AS e0, e1 FROM {_LEADS} WHERE event_type = 'view' AND t1 = 'view' AND ts1 <= ts + INTERVAL 24 HOUR")
+def cep_between(spark, d):
+    return _ids(_match(spark, d, Pattern("p").begin("v", F.col("type") == "view").between(2, 4).within("24 hours")), 2)
+
+
+@query(f"SELECT user_id, event_id AS e0, e1 FROM {_LEADS} WHERE event_type = 'error' AND t1 = 'click' AND ts1 <= ts + INTERVAL 24 HOUR")
+def cep_at_most(spark, d):
+    return _ids(_match(spark, d, Pattern("p").begin("e", F.col("type") == "error").at_most(3).then("c", F.col("type") == "click").within("24 hours")), 2)
+
+
 @query(f"""SELECT user_id, event_id AS first_id, CASE WHEN t1 = 'click' AND t2 = 'purchase' AND ts2 <= ts + INTERVAL 48 HOUR THEN e2 ELSE e1 END AS last_id,
     CAST(CASE WHEN t1 = 'click' AND t2 = 'purchase' AND ts2 <= ts + INTERVAL 48 HOUR THEN 3 ELSE 2 END AS BIGINT) AS n FROM {_LEADS}
     WHERE event_type = 'view' AND ((t1 = 'click' AND t2 = 'purchase' AND ts2 <= ts + INTERVAL 48 HOUR) OR (t1 = 'purchase' AND ts1 <= ts + INTERVAL 48 HOUR))""")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +42,37 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, **extra:
     )
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, deleted when the driver's JVM ends.
+
+    Without that setting it is a folder of this machine, which only a Spark of one process may use.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
+    path = f"{base.rstrip('/') if '://' in base else 'file://' + os.path.abspath(base)}/{label}-{uuid.uuid4().hex[:12]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which stateful processors need; the caller's setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(key, None)
+    spark.conf.set(key, DEFAULTS[key])
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had) if had else spark.conf.unset(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table. Only Spark's reader touches the path, so any store Spark can open works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

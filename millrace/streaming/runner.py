@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from millrace.operators.windows import micros
+from millrace.session import scratch, state_store
 
 
 def stream_events(spark: SparkSession, sf_dir: str, delay: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -24,27 +25,41 @@ def stream_events(spark: SparkSession, sf_dir: str, delay: str | None = None, pe
 
 
 def replay(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is now and gives its result table. Append leaves the last windows open."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over what there is now and gives its written result table. Append leaves the last windows open.
+
+    Nothing goes through the driver: rows are written where they are made, in append mode by the file sink (each once,
+    whatever restarts), else as the whole table of the last batch.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    w = df.writeStream.queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{path}/checkpoint")
+    if mode == "append":
+        w = w.format("parquet").option("path", f"{path}/rows")
+    else:
+        w = w.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows"))
+    with state_store(spark):
+        q = w.start()
+        q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 class LateSplitter:
     """Splits each micro-batch at the watermark it replays: the greatest time of earlier batches less the delay.
 
-    ``body`` goes into foreachBatch. The mark is one number; it is kept in memory and, with ``path``, in the batch's
-    output folder names, so that a restart goes on where it was.
+    ``body`` goes into foreachBatch. The mark is one number; with ``path`` it is also written after each batch, under
+    the batch's number, so that a restart goes on where it was and a repeated batch is split as it was the first time.
     """
 
-    def __init__(self, ts: str, delay: str, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None]):
-        self.ts, self.delay, self.on_time, self.late = ts, micros(delay), on_time, late
+    def __init__(self, ts: str, delay: str, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], path: str | None = None):
+        self.ts, self.delay, self.on_time, self.late, self.path = ts, micros(delay), on_time, late, path
         self.mark: int | None = None
 
     def body(self, batch: DataFrame, n: int) -> None:
+        if self.path:
+            self.mark = None
+            before = [k for k in numbered(batch.sparkSession, self.path, "mark") if k < n]
+            if before:
+                self.mark = batch.sparkSession.read.schema("mark long").parquet(f"{self.path}/mark={max(before)}").first()[0]
         us = F.unix_micros(F.col(self.ts))
         if self.mark is None:
             self.on_time(batch, n)
@@ -54,24 +69,39 @@ class LateSplitter:
         top = batch.agg(F.max(us)).first()[0]
         if top is not None:
             self.mark = max(self.mark or 0, top - self.delay)
+        if self.path and self.mark is not None:
+            batch.sparkSession.createDataFrame([(self.mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/mark={n}")
+
+
+def numbered(spark: SparkSession, path: str, label: str) -> list[int]:
+    """The numbers of the folders ``label=N`` in a folder that were written to their end."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    whole = spark._jvm.org.apache.hadoop.fs.Path
+    names = [str(s.getPath().getName()) for s in fs.listStatus(root) if s.isDirectory() and fs.exists(whole(s.getPath(), "_SUCCESS"))]
+    return sorted(int(x.split("=")[1]) for x in names if x.startswith(f"{label}="))
 
 
 class TableSink:
-    """A keyed table kept up to date by micro-batches: versions of Parquet folders, each the merge of the last and a batch."""
+    """A keyed table kept up to date by micro-batches: versions of Parquet folders, each the merge of the last and a batch.
+
+    The last whole version is looked up in the folder, so a restarted or repeated batch merges with the version before it.
+    """
 
     def __init__(self, path: str, keys: list[str], order: list[str]):
-        self.path, self.keys, self.order, self.version = path, keys, order, None
+        self.path, self.keys, self.order = path, keys, order
 
     def body(self, batch: DataFrame, n: int) -> None:
         from millrace.operators.tables import upsert
 
-        rows = batch if self.version is None else batch.sparkSession.read.parquet(self.version).unionByName(batch)
-        target = f"{self.path}/v={n}"
-        upsert(rows, self.keys, self.order).write.mode("overwrite").parquet(target)
-        self.version = target
+        before = [k for k in numbered(batch.sparkSession, self.path, "v") if k < n]
+        rows = batch.sparkSession.read.parquet(f"{self.path}/v={max(before)}").unionByName(batch) if before else batch
+        upsert(rows, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/v={n}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.version)
+        return spark.read.parquet(f"{self.path}/v={max(numbered(spark, self.path, 'v'))}")
 
 
 class CountTrigger(StatefulProcessor):
@@ -194,4 +224,5 @@ class Pipeline:
 
     def run(self, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = False):
         w = self.df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-        return (w.trigger(availableNow=True) if once else w).start()
+        with state_store(self.df.sparkSession):
+            return (w.trigger(availableNow=True) if once else w).start()

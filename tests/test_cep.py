@@ -116,3 +116,27 @@ def test_against_walk(spark, types, relaxed):
         else:
             want.append(tuple(ids))
     assert got == sorted(want)
+
+
+def test_open_counts(spark):
+    p = Pattern("p").begin("a", T("type") == "a")
+    rows = (("a", 0), ("a", 1), ("b", 2))
+    assert run(spark, p.between(2, 3), *rows).count() == 1 and run(spark, p.between(3, 2), *rows).count() == 0
+    assert run(spark, p.at_most(2), *rows).count() == 2 and run(spark, p.at_most(0), *rows).count() == 0
+    assert run(spark, p.one_or_more().then("b", T("type") == "b"), *rows).count() == 1
+    assert run(spark, p.then("b", T("type") == "x").zero_or_more(), *rows).count() == 2
+
+
+def test_one_key_with_many_rows(spark):
+    """Relaxed lookups go by the rows, not their square: 300,000 rows of one key."""
+    n = 300_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit("u").alias("key"), F.when(F.col("id") % 1000 == 0, "a").when(F.col("id") % 1000 == 999, "b").otherwise("x").alias("type"), F.timestamp_micros("id").alias("ts"))
+    assert match(df, seq("a", "b").skipping(), "key", "ts", ["ts", "event_id"], ["event_id"]).count() == n // 1000
+
+
+def test_calls(spark):
+    r, got = PatternRegistry(), []
+    r.register(seq("a", "b"), lambda m: got.append(m.count()))
+    df = spark.createDataFrame([(0, "a", T0, "u"), (1, "b", T0 + dt.timedelta(seconds=1), "u")], "event_id long, type string, ts timestamp_ntz, key string")
+    r.deliver(df, "key", "ts", ["ts", "event_id"], ["event_id"])
+    assert got == [1]
