@@ -9,9 +9,10 @@ length, within ``tau`` edits (insert, delete, replace of a character), has an ea
    a substring, at a place that the multi-match-aware bounds narrow to a few for each length l .. l + tau. Equal
    substrings that stand for several lengths are one key, so a line has at most eight keys for two edits.
 3. Keys are counted first. A key of two lines is a pair already; the lines of a key with up to ``hot`` lines are joined.
-4. A key of more lines never gives all its pairs. Its earliest line is the pivot; lines within tau edits of it are
-   settled. Every other line gives second keys, relative to the pivot, that two lines share only if they are alike where
-   they differ from the pivot (see ``second_keys``), and meets only the lines that have one of them.
+4. A key of more lines never gives all its pairs. They have a pivot, the commonest line around (see ``pivots``); later
+   lines within tau edits of it are settled. Every other line gives second keys, relative to the pivot, that two lines
+   share only if they are alike where they differ from the pivot (see ``second_keys``), and meets only the lines that
+   have one of them.
 5. Texts are fetched for candidate lines only (a bitmap of their hashes, sized by their count and bounded, is broadcast
    and keeps most others from being shuffled), then pairs are checked: most pieces of finer and finer partitions must be
    intact (a necessary condition), then a banded bit-parallel edit distance decides. Its column vector holds the
@@ -34,6 +35,8 @@ from millrace.llm import _scratch as sc
 #: Numbers of pieces of a line that must nearly all be intact before its distance is computed.
 FINER = (4, 8, 24)
 TAU, MIN_CHARS, HOT = 2, 20, 32
+#: Rounds in which hot keys learn of commoner lines than their own.
+PIVOT_ROUNDS = 4
 #: A bitmap's buckets of 32,768 bits: 16 bits an entry, 64 MB at most.
 MOST_BUCKETS = 16_384
 
@@ -225,22 +228,37 @@ def later(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     return near.select(F.expr("if(_fa > _fb, _a, _b)").alias("x")).select("x.*").distinct()
 
 
-def later_of_hot(member: DataFrame, texts: DataFrame, path: str, tau: int) -> DataFrame:
-    """(h, g) of lines that have an earlier line within tau edits among the lines of a hot key.
+def pivots(member: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """(key, h) -> (key, _at, h): key is now the line that a hot key's lines are compared with first, _at its place.
 
-    Keys of one pivot (mostly the segments of one text) count as one, so a line is taken once a pivot.
+    The best pivot is the text that the others are variants of, which need not have the key itself (its length may lie
+    outside the key's). So in PIVOT_ROUNDS rounds each key takes the commonest line that any of its lines knows of, the
+    earliest of equal ones, and each line the commonest that any of its keys knows of. Keys of one pivot count as one.
     """
-    pivot = member.join(texts.select("h", "first"), "h").groupBy("key").agg(F.min(F.struct("first", "h")).alias("e")).select("key", F.col("e.h").alias("eh"), F.col("e.first").alias("_at"))
-    once = sc.save(member.join(pivot, "key").select(F.col("eh").alias("key"), "_at", "h").distinct(), f"{path}/hot")
+    known = member.join(texts.select("h", F.struct("times", (-F.col("first")).alias("early"), F.col("h").alias("eh")).alias("e")), "h")
+    for k in range(PIVOT_ROUNDS):
+        known = sc.save(known.groupBy("key").agg(F.max("e").alias("e")), f"{path}/pivots-{k}")
+        known = member.join(known, "key")
+        if k < PIVOT_ROUNDS - 1:
+            known = member.join(known.groupBy("h").agg(F.max("e").alias("e")), "h")
+    return sc.save(known.select(F.col("e.eh").alias("key"), (-F.col("e.early")).alias("_at"), "h").distinct(), f"{path}/hot")
+
+
+def later_of_hot(member: DataFrame, texts: DataFrame, path: str, tau: int) -> DataFrame:
+    """(h, g) of lines that have an earlier line within tau edits among the lines of a hot key."""
+    once = pivots(member, texts, path)
     e = texts.select(F.col("h").alias("key"), F.col("first").alias("_at"), F.col("_line").alias("_e"))
-    member = once.join(texts, "h").join(e, ["key", "_at"]).repartition(sc.parts(once.sparkSession))
-    settled = sc.save(alike(member.where("first > _at"), "_line", "_e", tau).select("h", "g").distinct(), f"{path}/settled")
+    member = once.join(texts.drop("times"), "h").join(e, ["key", "_at"]).repartition(sc.parts(once.sparkSession))
+    close = alike(member.where("first <> _at"), "_line", "_e", tau)
+    close = sc.save(close.select("h", "g", "first", "key", "_at"), f"{path}/close")
+    settled = close.where("first > _at").select("h", "g").distinct()
+    pivot = close.where("first < _at").select(F.col("key").alias("h"), F.col("_at").alias("first")).distinct().join(texts, ["h", "first"]).select("h", "g")
     free = member.join(settled.withColumn("_settled", F.lit(True)), ["h", "g"], "left").withColumn("free", F.col("_settled").isNull())
     keyed = sc.save(second_keys(free.repartition(sc.parts(once.sparkSession)), tau), f"{path}/second")
     other = keyed.select("key2", F.col("h").alias("b"), F.col("free").alias("too"))
     pairs = keyed.where("free").select("key2", F.col("h").alias("a")).join(other, "key2").where("a < b OR (a <> b AND NOT too)")
     pairs = sc.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}/second-pairs")
-    return settled.union(later(pairs, texts, tau))
+    return settled.union(pivot).union(later(pairs, texts, tau))
 
 
 def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
@@ -254,7 +272,7 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
     pairs, heavy = candidates(firsts, path, tau, hot)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(heavy.select("h")).distinct()
     texts = marked(occ.where(f"_len >= {min_chars}"), bitmap(sc.save(wanted, f"{path}/wanted"), f"{path}/bits"), "_wanted").where("_wanted")
-    texts = texts.groupBy("h", "g").agg(F.min(F.struct("place", "_line")).alias("x")).select("h", "g", F.col("x.place").alias("first"), F.col("x._line").alias("_line"))
+    texts = texts.groupBy("h", "g").agg(F.min(F.struct("place", "_line")).alias("x"), F.count("*").alias("times")).select("h", "g", F.col("x.place").alias("first"), F.col("x._line").alias("_line"), "times")
     texts = sc.save(texts, f"{path}/texts")
     late = later(pairs, texts, tau)
     if heavy.limit(1).count():
