@@ -2,6 +2,12 @@
 
 Each stage takes the whole table its predecessor kept, written as Parquet in the shared folder and read again. All but
 the last return the columns of documents (``n_chars`` follows the text); the last returns packed pieces.
+
+Defined results: a document with a null or empty text, or with fewer than ten words, goes in the first stage; a copy of
+an earlier document loses all its lines in the second and stays as a row with an empty text; rows with equal identifier
+and text keep their lines, and near dedup leaves one of them; equal identifiers with different texts and null identifiers
+stay rows of their own; texts of any length are taken whole; an empty table gives no rows; other columns, whatever they
+are called, are carried along to the last stage, which returns the pieces' columns only.
 """
 
 from __future__ import annotations
