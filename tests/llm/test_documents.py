@@ -450,3 +450,24 @@ def test_pipeline(spark, tmp_path):
     assert passage in text[101].text and passage not in text[102].text and text[102].n_chars == len(text[102].text)
     out = p.run(spark, f"file://{d}")
     assert {x.doc_id for x in out.select("doc_id").distinct().collect()} == ids[3]
+
+
+def test_pipeline_edge_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(9)
+    say = lambda: " ".join(f"word{r.randrange(3000)}" for _ in range(60))
+    a, b, c, lost = say(), say(), say(), say()
+    rows = [(1, a), (2, a), (3, b), (3, b), (4, c), (4, say()), (None, lost), (5, None), (6, ""), (7, " \n\t "), (8, "too few words")]
+    ddl = "doc_id long, text string, rid string, block int, _row int, h string, `a b` int"
+    table = spark.createDataFrame([(i, t, "x", 1, 2, "y", k) for k, (i, t) in enumerate(rows)], ddl)
+    for name, kept in (("some", table), ("none", table.limit(0))):
+        kept.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/some/documents.parquet")
+    for k, (_, f) in enumerate(p.STAGES[:-1]):
+        docs = sc.save(f(spark, docs, ""), f"{sc.new_dir(spark, 't')}/{k}")
+        assert docs.columns == table.columns
+    left = [(x.doc_id, x.text) for x in docs.collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (2, ""), (3, b), rows[4], rows[5], (None, lost)], key=str)
+    out = p.run(spark, f"file://{tmp_path}/none")
+    assert out.count() == 0 and "sequence_id" in out.columns
