@@ -9,6 +9,7 @@ length, within ``tau`` edits (insert, delete, replace of a character), has an ea
    a substring, at a place that the multi-match-aware bounds narrow to a few for each length l .. l + tau. Equal
    substrings that stand for several lengths are one key, so a line has at most eight keys for two edits.
 3. Keys are counted first. A key of two lines is a pair already; the lines of a key with up to ``hot`` lines are joined.
+   Only rows whose key may have several lines, by a bitmap of such keys, are shuffled for that.
 4. A key of more lines never gives all its pairs. They have a pivot, the commonest line around (see ``pivots``); later
    lines within tau edits of it are settled. Every other line gives second keys, relative to the pivot, that two lines
    share only if they are alike where they differ from the pivot (see ``second_keys``), and meets only the lines that
@@ -188,8 +189,8 @@ def bitmap(hashes: DataFrame, path: str) -> tuple[DataFrame, int]:
 
     ``marked`` may name rows that weren't meant, never miss one; where the bound makes it name many, a join decides later.
     """
-    buckets = 1
-    while buckets < MOST_BUCKETS and buckets * 2048 < hashes.count():
+    buckets, n = 1, hashes.count()
+    while buckets < MOST_BUCKETS and buckets * 2048 < n:
         buckets = min(MOST_BUCKETS, 4 * buckets)
     slots = hashes.select(F.pmod(F.col("h"), F.lit(buckets * 32768)).alias("_slot"))
     bits = slots.groupBy(F.expr("cast(_slot div 32768 as int)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_slot % 32768 + 1))").alias("_bits"))
@@ -212,7 +213,11 @@ def candidates(firsts: DataFrame, path: str, tau: int, hot: int) -> tuple[DataFr
     met = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("pos").alias("least"))
     met = sc.save(met.where(f"c > 1 AND lo <> hi AND least <= {tau}"), f"{path}/met")
     several = met.where("c > 2").select("key", (F.col("c") > hot).alias("hot"))
-    member = sc.save(rows.join(several, "key").select("key", "h", (F.col("pos") <= tau).alias("own"), "hot"), f"{path}/members")
+    # Most keys are one line's own: a bitmap keeps them from being shuffled a second time.
+    sieve = bitmap(several.select(F.col("key").alias("h")), f"{path}/several")
+    likely = marked(rows.select(F.col("h").alias("_line"), "pos", F.col("key").alias("h")), sieve, "_likely").where("_likely")
+    likely = likely.select(F.col("h").alias("key"), F.col("_line").alias("h"), "pos")
+    member = sc.save(likely.join(several, "key").select("key", "h", (F.col("pos") <= tau).alias("own"), "hot"), f"{path}/members")
     few = member.where("NOT hot").select("key", "h", "own")
     other = few.select("key", F.col("h").alias("b"), F.col("own").alias("too"))
     joined = few.where("own").withColumnRenamed("h", "a").join(other, "key").where("a < b OR (a <> b AND NOT too)")

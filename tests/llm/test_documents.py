@@ -135,6 +135,31 @@ def test_line_dedup(spark, tau, hot):
     assert lines.dedup(df.limit(0), tau, 8, hot).count() == 0
 
 
+def test_keys_of_one_line_are_shuffled_once(spark, tmp_path):
+    """Where nothing is small enough to be broadcast unasked, too: keys to be counted, then those of several lines only."""
+    r = random.Random(4)
+    rows = [(k, *(r.getrandbits(60) for _ in range(4))) for k in range(4000)]
+    rows += [(5000 + k, 7, *(r.getrandbits(60) for _ in range(3))) for k in range(3)] + [(6000 + k, 9, *(r.getrandbits(60) for _ in range(3))) for k in range(5)]
+    firsts = spark.createDataFrame(rows, "h long, _k0 long, _k1 long, _k2 long, _k3 long")
+    store, limit = spark._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled() -> int:
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        done = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(done.apply(k).shuffleWriteRecords() for k in range(done.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        pairs, heavy = lines.candidates(firsts, f"file://{tmp_path}", 2, 4)
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(map(tuple, pairs.collect())) == [(5000, 5001), (5000, 5002), (5001, 5002)]
+    assert sorted(map(tuple, heavy.collect())) == [(9, 6000 + k) for k in range(5)]
+    assert moved < 1.5 * 4 * len(rows)
+
+
 def shingles(t, k):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
