@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch sent to Python workers; texts are long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 256
+#: Spark's setting for removing a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -56,9 +58,22 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it again: cuts the lineage, and a lost executor costs nothing that was written."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table and read it again: cuts the lineage, and a lost executor costs nothing that was written.
+
+    Nothing reads the write's shuffle files afterwards, so Spark removes them at its end; else they stay until the
+    driver happens to collect its garbage. The setting is put back.
+    """
+    spark = df.sparkSession
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

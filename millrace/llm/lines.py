@@ -268,7 +268,8 @@ def later_of_hot(member: DataFrame, texts: DataFrame, path: str, tau: int) -> Da
 
 def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """(doc_id, th, gone): for rows that lose lines, the places of those lines. A written table."""
-    path = sc.new_dir(docs.sparkSession, "lines")
+    kept = sc.new_dir(docs.sparkSession, "lines")
+    path = f"{kept}/work"
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     occ = occurrences(docs, min_chars)
     keys = {f"_k{j}": F.expr(f"if(_len >= {min_chars}, {k}, null)") for j, k in enumerate(line_keys(tau))}
@@ -285,7 +286,9 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
     late = sc.save(late.distinct().withColumn("near", F.lit(True)), f"{path}/late")
     drop = firsts.select("h", "g", "first", "times").join(late, ["h", "g"], "left").where("times > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = occ.select("doc_id", "th", "n", "place", "h", "g").join(drop, ["h", "g"]).where("near OR place <> first")
-    return sc.save(gone.groupBy("doc_id", "th").agg(F.collect_set("n").alias("gone")), f"{path}/gone")
+    gone = sc.save(gone.groupBy("doc_id", "th").agg(F.collect_set("n").alias("gone")), f"{kept}/gone")
+    sc.drop_dir(docs.sparkSession, path)
+    return gone
 
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT, counts: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -135,6 +136,22 @@ def test_line_dedup(spark, tau, hot):
     assert lines.dedup(df.limit(0), tau, 8, hot).count() == 0
 
 
+def test_line_dedup_leaves_little_on_disk(spark, docs):
+    """Neither shuffle files nor tables that nothing reads any more stay, while the driver collects no garbage."""
+    local = [x.toString() for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def left(tops, name):
+        return {os.path.join(d, f) for top in tops for d, _, names in os.walk(top) for f in names if name in f}
+
+    shared = [sc.shared_dir(spark).removeprefix("file://")]
+    setting = spark.conf.get(sc.CLEANUP, None)
+    shuffles, tables = left(local, "shuffle_"), left(shared, ".parquet")
+    gone = lines.removed_places(docs, 2, 8, 1)
+    assert not {f for f in left(local, "shuffle_") - shuffles if f.endswith(".data")}
+    assert {os.path.basename(os.path.dirname(f)) for f in left(shared, ".parquet") - tables if not f.endswith(".crc")} == {"gone"}
+    assert gone.count() > 0 and spark.conf.get(sc.CLEANUP, None) == setting
+
+
 def test_keys_of_one_line_are_shuffled_once(spark, tmp_path):
     """Where nothing is small enough to be broadcast unasked, too: keys to be counted, then those of several lines only."""
     r = random.Random(4)
