@@ -105,7 +105,7 @@ def repairs(x: str, e: str) -> str:
 
 
 def second_keys(members: DataFrame, tau: int) -> DataFrame:
-    """members (key, h, free, _line, _e) -> (key2, h, free): keys relative to the pivot ``_e``, shared by any two members within tau edits.
+    """members (key, _line, _e, others) -> (others, key2): keys relative to the pivot ``_e``, shared by any two members within tau edits.
 
     Let two members agree with the pivot for p and p' characters at the start, s and s' at the end. If p < p', the
     first place where they differ is p, there the second agrees with the pivot, and some shortest way from the first to
@@ -117,7 +117,8 @@ def second_keys(members: DataFrame, tau: int) -> DataFrame:
     def ends(df: DataFrame) -> DataFrame:
         return df.withColumn("_p", F.expr(agreement("_line", "_e"))).withColumn("_s", F.expr(agreement("reverse(_line)", "reverse(_e)")))
 
-    out, level = None, members.select("key", "h", "free", "_line", "_e")
+    others = [c for c in members.columns if c not in ("key", "_line", "_e")]
+    out, level = None, members.select("key", *others, "_line", "_e")
     for used in range(tau + 1):
         keys = ["xxhash64(key, 0, _line)"]
         df = level
@@ -125,11 +126,11 @@ def second_keys(members: DataFrame, tau: int) -> DataFrame:
             df = ends(level).withColumn("_mid", F.expr("substring(_line, _p + 1, greatest(0, length(_line) - _p - _s))"))
         for left in range(1, tau - used + 1):
             keys += line_keys(left, "_mid", "length(_mid)", f"key, {left}, _p, _s, ")
-        given = df.select("h", "free", F.explode(F.expr(f"array_distinct(array({', '.join(keys)}))")).alias("key2")).where("key2 IS NOT NULL")
+        given = df.select(*others, F.explode(F.expr(f"array_distinct(array({', '.join(keys)}))")).alias("key2")).where("key2 IS NOT NULL")
         out = given if out is None else out.unionByName(given)
         if used < tau:
             ends_too = f"transform({repairs('reverse(_line)', 'reverse(_e)')}, z -> reverse(z))"
-            level = level.select("key", "h", "free", F.explode(F.expr(f"array_distinct(concat({repairs('_line', '_e')}, {ends_too}))")).alias("_line"), "_e")
+            level = level.select("key", *others, F.explode(F.expr(f"array_distinct(concat({repairs('_line', '_e')}, {ends_too}))")).alias("_line"), "_e")
     return out
 
 
@@ -225,12 +226,16 @@ def candidates(firsts: DataFrame, path: str, tau: int, hot: int) -> tuple[DataFr
     return sc.save(pairs, f"{path}/candidates"), member.where("hot").select("key", "h").distinct()
 
 
-def later(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
-    """(h, g) of the later line of each pair (a, b) that is within tau edits."""
+def later(pairs: DataFrame, texts: DataFrame, path: str, tau: int) -> DataFrame:
+    """(h, g) of the later line of each pair (a, b) that is within tau edits.
+
+    The texts are written beside their pairs first, here and in ``hot_pairs``: Spark plans a query anew after each of its
+    shuffles, so the driver's memory holds the long expressions of ``alike`` once where no shuffle shares their query.
+    """
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("h").alias(side), F.struct("h", "g").alias(f"_{side}"), F.col("_line").alias(f"_l{side}"), F.col("first").alias(f"_f{side}")), side)
-    near = alike(pairs, "_la", "_lb", tau)
-    return near.select(F.expr("if(_fa > _fb, _a, _b)").alias("x")).select("x.*").distinct()
+    both = sc.save(pairs.select(F.expr("if(_fa > _fb, _a, _b)").alias("x"), "_la", "_lb").repartition(sc.parts(texts.sparkSession)), path)
+    return sc.save(alike(both, "_la", "_lb", tau).select("x.*"), f"{path}-near").distinct()
 
 
 def pivots(member: DataFrame, texts: DataFrame, path: str) -> DataFrame:
@@ -249,21 +254,22 @@ def pivots(member: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     return sc.save(known.select(F.col("e.eh").alias("key"), (-F.col("e.early")).alias("_at"), "h").distinct(), f"{path}/hot")
 
 
-def later_of_hot(member: DataFrame, texts: DataFrame, path: str, tau: int) -> DataFrame:
-    """(h, g) of lines that have an earlier line within tau edits among the lines of a hot key."""
+def hot_pairs(member: DataFrame, texts: DataFrame, path: str, tau: int) -> tuple[DataFrame, DataFrame]:
+    """((h, g), (a, b)): lines of hot keys that have an earlier line within tau edits, a pivot or its member; pairs of lines to be checked."""
     once = pivots(member, texts, path)
     e = texts.select(F.col("h").alias("key"), F.col("first").alias("_at"), F.col("_line").alias("_e"))
     member = once.join(texts.drop("times"), "h").join(e, ["key", "_at"]).repartition(sc.parts(once.sparkSession))
+    member = sc.save(member, f"{path}/hot-texts")
     close = alike(member.where("first <> _at"), "_line", "_e", tau)
     close = sc.save(close.select("h", "g", "first", "key", "_at"), f"{path}/close")
     settled = close.where("first > _at").select("h", "g").distinct()
     pivot = close.where("first < _at").select(F.col("key").alias("h"), F.col("_at").alias("first")).distinct().join(texts, ["h", "first"]).select("h", "g")
-    free = member.join(settled.withColumn("_settled", F.lit(True)), ["h", "g"], "left").withColumn("free", F.col("_settled").isNull())
-    keyed = sc.save(second_keys(free.repartition(sc.parts(once.sparkSession)), tau), f"{path}/second")
+    keyed = sc.save(second_keys(member.select("key", "h", "g", "_line", "_e"), tau), f"{path}/second")
+    keyed = keyed.join(settled.withColumn("_settled", F.lit(True)), ["h", "g"], "left").select("key2", "h", F.col("_settled").isNull().alias("free"))
     other = keyed.select("key2", F.col("h").alias("b"), F.col("free").alias("too"))
     pairs = keyed.where("free").select("key2", F.col("h").alias("a")).join(other, "key2").where("a < b OR (a <> b AND NOT too)")
     pairs = sc.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}/second-pairs")
-    return settled.union(pivot).union(later(pairs, texts, tau))
+    return settled.union(pivot), pairs
 
 
 def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
@@ -280,9 +286,11 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
     texts = marked(occ.where(f"_len >= {min_chars}"), bitmap(sc.save(wanted, f"{path}/wanted"), f"{path}/bits"), "_wanted").where("_wanted")
     texts = texts.groupBy("h", "g").agg(F.min(F.struct("place", "_line")).alias("x"), F.count("*").alias("times")).select("h", "g", F.col("x.place").alias("first"), F.col("x._line").alias("_line"), "times")
     texts = sc.save(texts, f"{path}/texts")
-    late = later(pairs, texts, tau)
     if heavy.limit(1).count():
-        late = late.union(later_of_hot(heavy, texts, path, tau))
+        settled, more = hot_pairs(heavy, texts, path, tau)
+        late = later(pairs.union(more).distinct(), texts, f"{path}/pair-texts", tau).union(settled)
+    else:
+        late = later(pairs, texts, f"{path}/pair-texts", tau)
     late = sc.save(late.distinct().withColumn("near", F.lit(True)), f"{path}/late")
     drop = firsts.select("h", "g", "first", "times").join(late, ["h", "g"], "left").where("times > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = occ.select("doc_id", "th", "n", "place", "h", "g").join(drop, ["h", "g"]).where("near OR place <> first")

@@ -177,6 +177,19 @@ def test_keys_of_one_line_are_shuffled_once(spark, tmp_path):
     assert moved < 1.5 * 4 * len(rows)
 
 
+def test_long_expressions_are_planned_once(spark):
+    """The driver plans a query anew after each shuffle, so those that compare lines or make second keys have none."""
+    rows = [(k, f"a line that many documents share {k:03d}\nother words of number {k * 7919}") for k in range(12)]
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsCount()
+    assert lines.removed_places(spark.createDataFrame(rows, "doc_id long, text string"), 2, 8, 1).count() > 0
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    done = plans.executionsList()
+    said = [done.apply(k).physicalPlanDescription() for k in range(before, done.size())]
+    long = [x for x in said if "instr(" in x or "reverse(" in x]
+    assert len(long) >= 3 and not [x for x in long if "Exchange" in x]
+
+
 def shingles(t, k):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
