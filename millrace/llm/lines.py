@@ -18,7 +18,8 @@ length, within ``tau`` edits (insert, delete, replace of a character), has an ea
    and keeps most others from being shuffled), then pairs are checked: most pieces of finer and finer partitions must be
    intact (a necessary condition), then a banded bit-parallel edit distance decides. Its column vector holds the
    2 * tau + 1 diagonals of the band as bits of one integer.
-6. ``dedup`` joins only the rows that lose lines with their places; the others are passed on where they are read.
+6. The commonest lines are looked up where rows are read; rows that lose no others need no join. ``dedup`` joins only the
+   rest of the rows that lose lines with those places; the others are passed on where they are read.
 
 Defined results: a null text has no lines and stays null; null identifiers count as the smallest; rows with equal
 identifier and text count as one place, so both keep what either keeps; lines without a word always stay if they are
@@ -28,7 +29,7 @@ whatever they are called, are carried along by ``dedup``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from millrace.llm import _scratch as sc
@@ -38,6 +39,8 @@ FINER = (4, 8, 24)
 TAU, MIN_CHARS, HOT = 2, 20, 32
 #: Rounds in which hot keys learn of commoner lines than their own.
 PIVOT_ROUNDS = 4
+#: Lines, the commonest, whose places are found where rows are read; for all others a join tells rows their places.
+COMMON = 256
 #: A bitmap's buckets of 32,768 bits: 16 bits an entry, 64 MB at most.
 MOST_BUCKETS = 16_384
 
@@ -174,12 +177,17 @@ def alike(pairs: DataFrame, a: str, b: str, tau: int) -> DataFrame:
     return pairs.where(edit_distance("_x", "_y", tau) <= tau).drop("_x", "_y")
 
 
+def first_place(doc_id: str, th: str) -> str:
+    """SQL of the place of a row's line 0."""
+    base = f"cast(coalesce({doc_id}, {-(1 << 63)}L) as decimal(19, 0)) * 10000000000000000000BD + cast(pmod({th}, 900000000L) * 10000000000L as decimal(19, 0))"
+    return f"cast({base} as decimal(38, 0))"
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, th, n, place, _line, _len, h, g) of every line that takes part. ``th`` tells rows of one identifier apart;
     ``place`` orders occurrences by identifier, th and n; h and g name the line."""
     th = F.xxhash64("text")
-    base = f"cast(coalesce(doc_id, {-(1 << 63)}L) as decimal(19, 0)) * 10000000000000000000BD + cast(pmod(th, 900000000L) * 10000000000L as decimal(19, 0))"
-    lines = docs.withColumn("th", th).withColumn("_base", F.expr(f"cast({base} as decimal(38, 0))"))
+    lines = docs.withColumn("th", th).withColumn("_base", F.expr(first_place("doc_id", "th")))
     lines = lines.select("doc_id", "th", "_base", F.posexplode(F.split("text", "\n")).alias("n", "_line")).withColumn("_len", F.length("_line"))
     lines = lines.where(f"_len >= {min_chars} OR _line RLIKE '[^ \\\\t-\\\\r]'")
     return lines.withColumns({"place": F.expr("cast(_base + n as decimal(38, 0))"), "h": F.xxhash64("_line"), "g": F.xxhash64(F.lit(1), "_line")}).drop("_base")
@@ -272,12 +280,19 @@ def hot_pairs(member: DataFrame, texts: DataFrame, path: str, tau: int) -> tuple
     return settled.union(pivot), pairs
 
 
-def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """(doc_id, th, gone): for rows that lose lines, the places of those lines. A written table."""
-    kept = sc.new_dir(docs.sparkSession, "lines")
-    path = f"{kept}/work"
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    occ = occurrences(docs, min_chars)
+def common_places(common: list[Row], text: str, doc_id: str, th: str) -> str:
+    """SQL of the places at which a row loses one of the lines ``common`` (h, g, first, near), no two of the same h."""
+    if not common:
+        return f"if({text} IS NULL, null, cast(array() as array<int>))"
+    h = ", ".join(f"{x.h}L" for x in common)
+    of = {"g": ", ".join(f"{x.g}L" for x in common), "near": ", ".join(str(x.near) for x in common), "first": ", ".join(f"cast('{x.first}' as decimal(38, 0))" for x in common)}
+    lost = f"array({of['g']})[s.i - 1] = s.g AND (array({of['near']})[s.i - 1] OR array({of['first']})[s.i - 1] <> cast({first_place(doc_id, th)} + s.n as decimal(38, 0)))"
+    found = f"transform(split({text}, '\n'), (x, n) -> if(xxhash64(x) IN ({h}), named_struct('n', n, 'i', cast(array_position(array({h}), xxhash64(x)) as int), 'g', xxhash64(1, x)), null))"
+    return f"transform(filter(filter({found}, s -> s IS NOT NULL), s -> {lost}), s -> s.n)"
+
+
+def lost_lines(occ: DataFrame, path: str, tau: int, min_chars: int, hot: int) -> DataFrame:
+    """(h, g, first, times, near) of the lines that places lose: all but the first, or with ``near`` that too. A written table."""
     keys = {f"_k{j}": F.expr(f"if(_len >= {min_chars}, {k}, null)") for j, k in enumerate(line_keys(tau))}
     firsts = occ.withColumns(keys).groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("times"), *[F.max(k).alias(k) for k in keys])
     firsts = sc.save(firsts, f"{path}/firsts")
@@ -292,26 +307,47 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
     else:
         late = later(pairs, texts, f"{path}/pair-texts", tau)
     late = sc.save(late.distinct().withColumn("near", F.lit(True)), f"{path}/late")
-    drop = firsts.select("h", "g", "first", "times").join(late, ["h", "g"], "left").where("times > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occ.select("doc_id", "th", "n", "place", "h", "g").join(drop, ["h", "g"]).where("near OR place <> first")
+    lost = firsts.select("h", "g", "first", "times").join(late, ["h", "g"], "left").where("times > 1 OR near")
+    return sc.save(lost.withColumn("near", F.coalesce("near", F.lit(False))), f"{path}/lost")
+
+
+def places(docs: DataFrame, tau: int, min_chars: int, hot: int, most: int) -> tuple[DataFrame, list[Row]]:
+    """(doc_id, th, gone): for rows that lose lines, the places of those lines, a written table; without those of up to
+    ``most`` common lines, which come as rows (h, g, first, times, near)."""
+    kept = sc.new_dir(docs.sparkSession, "lines")
+    path = f"{kept}/work"
+    occ = occurrences(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_chars)
+    lost = lost_lines(occ, path, tau, min_chars, hot)
+    common = list({x.h: x for x in lost.orderBy(F.desc("times"), "h", "g").limit(most).collect()}.values()) if most else []
+    if common:
+        of = {c: ", ".join(f"{x[c]}L" for x in common) for c in "hg"}
+        lost = lost.where(f"NOT coalesce(get(array({of['g']}), cast(array_position(array({of['h']}), h) as int) - 1) = g, false)")
+    # Most places lose nothing: a bitmap keeps them from being shuffled.
+    likely = marked(occ.select("doc_id", "th", "n", "place", "h", "g"), bitmap(lost.select("h"), f"{path}/lost-bits"), "_lost").where("_lost")
+    gone = likely.join(lost.select("h", "g", "first", "near"), ["h", "g"]).where("near OR place <> first")
     gone = sc.save(gone.groupBy("doc_id", "th").agg(F.collect_set("n").alias("gone")), f"{kept}/gone")
     sc.drop_dir(docs.sparkSession, path)
-    return gone
+    return gone, common
+
+
+def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+    """(doc_id, th, gone): for rows that lose lines, the places of those lines. A written table."""
+    return places(docs, tau, min_chars, hot, 0)[0]
 
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT, counts: bool = True) -> DataFrame:
     """The same rows and columns without the removed lines, with ``counts`` also `_n_lines` and `_n_removed`."""
-    gone = removed_places(docs, tau, min_chars, hot)
+    gone, common = places(docs, tau, min_chars, hot, COMMON)
     bits = bitmap(gone.select(F.col("th").alias("h")), f"{sc.new_dir(docs.sparkSession, 'lines')}/rows")
     text = F.col("_row.text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    rows = marked(rows, bits, "_loses").withColumn("_gone", F.lit(None).cast("array<int>"))
+    rows = marked(rows, bits, "_loses").withColumn("_gone", F.expr(common_places(common, "cast(_row.text AS string)", "_doc", "h")))
     told = gone.select(F.col("doc_id").alias("_gdoc"), F.col("th").alias("_gth"), F.col("gone").alias("_places"))
     some = rows.where("_loses").join(told, F.col("_doc").eqNullSafe(F.col("_gdoc")) & (F.col("h") == F.col("_gth")), "left")
-    both = rows.where("NOT _loses").select("_row", "_gone").union(some.select("_row", "_places"))
+    both = rows.where("NOT _loses").select("_row", "_gone").union(some.select("_row", F.expr("concat(_gone, coalesce(_places, cast(array() as array<int>)))")))
     # As a lambda's argument the lines are split once a row.
     cut = "transform(array(split(cast(_row.text AS string), '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _gone), i -> l[i]), '\n'))[0]"
-    left = F.when(F.col("_gone").isNull(), text).otherwise(F.expr(cut))
+    left = F.when(F.expr("_gone IS NULL OR size(_gone) = 0"), text).otherwise(F.expr(cut))
     cols = [left.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     if not counts:
         return both.select(*cols)

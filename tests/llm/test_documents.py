@@ -177,6 +177,40 @@ def test_keys_of_one_line_are_shuffled_once(spark, tmp_path):
     assert moved < 1.5 * 4 * len(rows)
 
 
+def test_rows_that_lose_common_lines_stay_where_they_are(spark, monkeypatch):
+    """Whatever number of lines is looked up where rows are read, the same places go; rows that lose no others aren't shuffled."""
+    common = ["a line that all documents have", "short one", "a line that all documents hAve"]
+    r = random.Random(8)
+    own, rare = (["".join(r.choice("abcdefgh") for _ in range(30)) for _ in range(300)] for _ in range(2))
+    rows = [(k, "\n".join([*common, own[k], *([rare[k // 2]] if k < 20 else [])])) for k in range(300)]
+    rows += [(None, common[0] + "\n"), (None, None), (7, rows[7][1]), (7, rows[7][1]), (7, "short one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    store, limit = spark._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled() -> int:
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        done = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(done.apply(k).shuffleWriteRecords() for k in range(done.size()))
+
+    def told(df) -> list:
+        return sorted((-1 if x.doc_id is None else x.doc_id, x.text or "") for x in df.collect())
+
+    want = told(lines.dedup(df, counts=False))
+    docs = sc.save(df, f"{sc.new_dir(spark, 'docs')}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, before = lines.dedup(docs, counts=False), shuffled()
+        assert told(out) == want
+        assert shuffled() - before < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for most in (0, 2):
+        monkeypatch.setattr(lines, "COMMON", most)
+        assert told(lines.dedup(docs, counts=False)) == want
+    kept = dict(want)
+    assert (-1, f"{common[0]}\n") in want and (kept[0], kept[18], kept[19], kept[299]) == (f"short one\n{own[0]}\n{rare[0]}", f"{own[18]}\n{rare[9]}", own[19], own[299])
+
+
 def test_long_expressions_are_planned_once(spark):
     """The driver plans a query anew after each shuffle, so those that compare lines or make second keys have none."""
     rows = [(k, f"a line that many documents share {k:03d}\nother words of number {k * 7919}") for k in range(12)]
