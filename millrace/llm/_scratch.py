@@ -76,6 +76,20 @@ def save(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def count(df: DataFrame) -> int:
+    """The number of rows; the count's shuffle files go as those of ``save`` do."""
+    spark = df.sparkSession
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.count()
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system behind a URI, usable on executors (local, hdfs, s3 and gs as pyarrow supports them)."""
     return pafs.FileSystem.from_uri(uri)

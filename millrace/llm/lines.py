@@ -198,7 +198,7 @@ def bitmap(hashes: DataFrame, path: str) -> tuple[DataFrame, int]:
 
     ``marked`` may name rows that weren't meant, never miss one; where the bound makes it name many, a join decides later.
     """
-    buckets, n = 1, hashes.count()
+    buckets, n = 1, sc.count(hashes)
     while buckets < MOST_BUCKETS and buckets * 2048 < n:
         buckets = min(MOST_BUCKETS, 4 * buckets)
     slots = hashes.select(F.pmod(F.col("h"), F.lit(buckets * 32768)).alias("_slot"))
