@@ -79,7 +79,7 @@ def throttle(a: DataFrame, key: str, most: int, unit: str = "minute") -> DataFra
 
 def maintenance(r: DataFrame, n: int = 15, threshold: float = 0.5) -> DataFrame:
     """Slope, degradation, priority, days to failure and health over a sensor's last n readings (10 at least)."""
-    out = G.regression(r, "sensor_id", list(ORDER), "value", n).withColumnRenamed("change", "degradation")
+    out = G.regression(r, "sensor_id", list(ORDER), "value", n, _close).withColumnRenamed("change", "degradation")
     w = Window.partitionBy("sensor_id").orderBy(*ORDER).rowsBetween(-(n - 1), 0)
     poor = F.avg((F.col("quality") == "poor").cast("double")).over(w)
     out = out.withColumns({"_mean": F.avg("value").over(w), "_sd": F.stddev_pop("value").over(w), "_poor": poor}).where("n >= 10")
@@ -89,11 +89,21 @@ def maintenance(r: DataFrame, n: int = 15, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("priority", priority).withColumn("days_to_failure", days_to_failure()).withColumn("health", health).drop("_mean", "_sd", "_poor")
 
 
-def days_to_failure() -> Column:
+def _close(slope: Column, error: Column) -> Column:
+    """Where an error of the slope may change its sign, the priority or a whole number of days."""
+    days = _margin() / F.nullif(slope, F.lit(0.0))
+    return (F.abs(slope) <= error) | (F.abs(F.abs(slope) - 0.5) <= error) | (F.abs(days - F.rint(days)) * F.abs(slope) <= 4 * F.abs(days) * error)
+
+
+def _margin() -> Column:
     limit = F.lit(100.0)
     for kind, v in FAILS_AT.items():
         limit = F.when(F.col("sensor_type") == kind, v).otherwise(limit)
-    days = (limit - F.col("value")) / F.col("slope")
+    return limit - F.col("value")
+
+
+def days_to_failure() -> Column:
+    days = _margin() / F.col("slope")
     return F.when(F.col("slope") == 0, 365).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(365.0), days)).cast("int"))
 
 

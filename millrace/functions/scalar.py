@@ -22,6 +22,13 @@ def round_half_up(x: Column) -> Column:
     return (x + 0.5).cast("bigint").cast("double")
 
 
+def round_scaled(x: Column, places: int) -> Column:
+    """Rounded as DuckDB rounds doubles: the nearest whole number of x * 10**places, halves away from zero. Spark's own
+    rounding takes the shortest decimal form instead, and 0.8735 may lie on either side of its half."""
+    scaled = x * float(10**places)
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(F.round(scaled) / float(10**places))
+
+
 def surge_multiplier(ratio: Column, cap: float = 3.0) -> Column:
     """1 below a ratio of 1, then a logarithmic rise up to the cap, to one decimal."""
     return F.when(ratio < 1, 1.0).otherwise(F.round(F.least(F.lit(cap), 1.0 + 0.5 * F.log2(ratio)), 1))

@@ -8,6 +8,7 @@ from millrace.apps import analytics as A
 from millrace.apps import fraud as X
 from millrace.apps import iot as I
 from millrace.apps import rideshare as R
+from millrace.functions.scalar import round_scaled
 from millrace.model import behaviour, events, readings, transactions
 from millrace.plans._registry import K, registry
 
@@ -255,7 +256,7 @@ MAINT = f"""(SELECT *, CASE WHEN f = 0 THEN 0 ELSE (value - f) / f END AS degrad
 @query(f"""SELECT event_id, sensor_id, round(degradation, 3) AS degradation, CASE WHEN abs(degradation) > 0.5 THEN 'high' WHEN abs(slope) > 0.5 THEN 'medium' ELSE 'low' END AS priority,
     CASE WHEN slope = 0 THEN 365 ELSE CAST(trunc(greatest(0, least(365, (CASE sensor_type WHEN 'temperature' THEN 100 WHEN 'pressure' THEN 150 WHEN 'vibration' THEN 50 WHEN 'humidity' THEN 95 ELSE 100 END - value) / slope))) AS INTEGER) END AS days_to_failure FROM {MAINT}""")
 def maintenance(spark, d):
-    return I.maintenance(_r(spark, d)).select("event_id", "sensor_id", F.round("degradation", 3).alias("degradation"), "priority", "days_to_failure")
+    return I.maintenance(_r(spark, d)).select("event_id", "sensor_id", round_scaled(F.col("degradation"), 3).alias("degradation"), "priority", "days_to_failure")
 
 
 @query(f"SELECT event_id, round(greatest(0, 100 - 100 * abs(degradation) - 5 * CASE WHEN mean = 0 THEN 0 ELSE sd / mean END - 20 * poor), 4) AS health FROM {MAINT}")
