@@ -82,7 +82,8 @@ def maintenance(r: DataFrame, n: int = 15, threshold: float = 0.5) -> DataFrame:
     out = G.regression(r, "sensor_id", list(ORDER), "value", n, _close).withColumnRenamed("change", "degradation")
     w = Window.partitionBy("sensor_id").orderBy(*ORDER).rowsBetween(-(n - 1), 0)
     poor = F.avg((F.col("quality") == "poor").cast("double")).over(w)
-    out = out.withColumns({"_mean": F.avg("value").over(w), "_sd": F.stddev_pop("value").over(w), "_poor": poor}).where("n >= 10")
+    # A value's covariance with itself is added up as SQL adds up its spread; Spark's own stddev_pop differs in the last bits.
+    out = out.withColumns({"_mean": F.avg("value").over(w), "_sd": F.sqrt(F.covar_pop("value", "value").over(w)), "_poor": poor}).where("n >= 10")
     priority = F.when(F.abs("degradation") > threshold, "high").when(F.abs("slope") > 0.5, "medium").otherwise("low")
     cv = F.when(F.col("_mean") == 0, 0.0).otherwise(F.col("_sd") / F.col("_mean"))
     health = F.greatest(F.lit(0.0), 100 - 100 * F.abs("degradation") - 5 * cv - 20 * F.col("_poor"))
